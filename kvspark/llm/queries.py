@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from kvspark.llm.mixing import op4_mix
 from kvspark.llm.secrets import op3_secrets
+from kvspark.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op3_secrets": op3_secrets, "op4_mix": op4_mix}
+    return {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_mix": op4_mix}
 
 
 def oracle_sql() -> dict[str, str]:
