@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from kvspark.llm.mixing import op4_mix
 from kvspark.llm.secrets import op3_secrets
+from kvspark.llm.tokens import op10_tokens
 from kvspark.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_mix": op4_mix}
+    return {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
