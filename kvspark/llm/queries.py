@@ -6,11 +6,12 @@ from kvspark.llm.mixing import op4_mix
 from kvspark.llm.secrets import op3_secrets
 from kvspark.llm.tokens import op10_tokens
 from kvspark.llm.toxicity import op1_toxicity
+from kvspark.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op10_tokens": op10_tokens}
+    return {"op1_toxicity": op1_toxicity, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op9_warc": op9_warc, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
