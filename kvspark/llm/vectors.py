@@ -48,40 +48,40 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _compare(key, table):
-    """Of one or two blocks of a bucket: links of each member that no earlier table finds, and who is tied to whom.
+def _compare(table):
+    """Of each bucket's one or two blocks: links of each member that no earlier table finds, and who is tied to whom.
 
     A pair counts in the first table in which its buckets are equal.  Ties name, for each member, the least class
     of its component among the links of this comparison, which are no more rows than members.
     """
-    i, j = key[1].as_py(), key[2].as_py()
-    ids = table.column("class").to_numpy(zero_copy_only=False)
-    copies = table.column("copies").to_numpy(zero_copy_only=False)
-    block = table.column("block").to_numpy(zero_copy_only=False)
+    ids, copies, t, bucket, i, j, block = (table.column(c).to_numpy(zero_copy_only=False) for c in ("class", "copies", "t", "bucket", "i", "j", "block"))
     x, keys = _matrix(table.column("x")), _matrix(table.column("keys"))
-    t = table.column("t")[0].as_py()
-    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    links = x[a] @ x[b].T >= LEAST
-    p, q = np.nonzero(links)
-    p, q = a[p], b[q]
-    keep = p < q if i == j else np.ones(len(p), bool)
-    p, q = p[keep], q[keep]
-    if t and len(p):
-        new = np.ones(len(p), bool)
-        for k in range(0, len(p), 200_000):
-            s = slice(k, k + 200_000)
-            new[s] = ~(keys[p[s], :t] == keys[q[s], :t]).any(1)
-        p, q = p[new], q[new]
-    n = np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))
-    label = ids.copy()
-    while len(p):
-        low = np.minimum(label[p], label[q])
-        if (label[p] == low).all() and (label[q] == low).all():
-            break
-        np.minimum.at(label, p, low)
-        np.minimum.at(label, q, low)
-    hit = np.flatnonzero(n > 0)
-    return pa.table({"class": pa.array(ids[hit]), "links": pa.array(n[hit].astype(np.int64)), "tie": pa.array(label[hit])})
+    order = np.lexsort((j, i, bucket, t))
+    change = np.zeros(len(order), bool)
+    for c in (t, bucket, i, j):
+        change[1:] |= np.diff(c[order]) != 0
+    out = [(np.zeros(0, np.int64),) * 3]
+    for at in np.split(order, np.flatnonzero(change)):
+        a, b = (at, at) if i[at[0]] == j[at[0]] else (at[block[at] == i[at[0]]], at[block[at] == j[at[0]]])
+        p, q = np.nonzero(x[a] @ x[b].T >= LEAST)
+        p, q = a[p], b[q]
+        if a is b:
+            p, q = p[p < q], q[p < q]
+        if t[at[0]] and len(p):
+            new = [~(keys[p[k : k + 200_000], : t[at[0]]] == keys[q[k : k + 200_000], : t[at[0]]]).any(1) for k in range(0, len(p), 200_000)]
+            p, q = p[np.concatenate(new)], q[np.concatenate(new)]
+        if not len(p):
+            continue
+        hit, both = np.unique(np.concatenate([p, q]), return_inverse=True)
+        p, q = both[: len(p)], both[len(p) :]
+        n = np.bincount(p, copies[hit][q], len(hit)) + np.bincount(q, copies[hit][p], len(hit))
+        label = ids[hit]
+        while (label[p] != label[q]).any():
+            low = np.minimum(label[p], label[q])
+            np.minimum.at(label, p, low)
+            np.minimum.at(label, q, low)
+        out.append((ids[hit], n.astype(np.int64), label))
+    return pa.table(dict(zip(("class", "links", "tie"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def near_vectors(vectors: DataFrame, *, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -118,11 +118,14 @@ def near_vectors(vectors: DataFrame, *, seed: int = 11, id_col: str = "vec_id",
     met = materialize(posted.groupBy("t", "bucket").agg(F.count("*").alias("members")).filter("members > 1"))
     shared = materialize(posted.join(met, ["t", "bucket"]))
     n = F.ceil(F.col("members") / BLOCK).cast("int")
+    # Buckets of one block share calls of some thousand rows; each pair of blocks of a larger one has its own.
+    calls = max(1, shared.count() // 4000)
     placed = shared.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    placed = placed.withColumn("ij", F.explode(meets)).select("t", "bucket", "class", "block", "ij.*").join(signed, "class")
-    # Small buckets share a task's call: the bucket's blocks are told apart inside.
-    found = materialize(placed.groupBy("bucket", "i", "j").applyInArrow(_compare, "class long, links long, tie long"))
+    placed = placed.withColumn("ij", F.explode(meets)).select("t", "bucket", "class", "block", "ij.*", "n")
+    together = F.when(F.col("n") == 1, F.pmod(F.xxhash64("t", "bucket"), F.lit(calls))).otherwise(F.xxhash64("t", "bucket", "i", "j"))
+    placed = placed.withColumn("together", together).drop("n").join(signed, "class")
+    found = materialize(placed.groupBy("together").applyInArrow(_compare, "class long, links long, tie long"))
     linked = materialize(found.groupBy("class").agg(F.sum("links").alias("links")))
     reached = materialize(components(found.select(F.col("class").alias("a"), F.col("tie").alias("b"))))
     owners = classes.select("class", "copies", "first", "v").join(linked, "class", "left").join(reached.withColumnRenamed("node", "class"), "class", "left")
