@@ -24,7 +24,7 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "page_id string, url string, ip string, date string, mime string, payload binary"
+RECORD = "page_id string, url string, ip string, date string, mime string, size long, digest string, payload binary"
 
 
 def arc_record(version: int, url: str, ip: str, date: str, mime: str, content: bytes, at: int = 0, file: str = "-") -> bytes:
@@ -76,12 +76,12 @@ def record_id(key: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
 
 
-def _base32(raw: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+def _base32(sha1: bytes) -> str:
+    return "sha1:" + base64.b32encode(sha1).decode()
 
 
 def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("WARC-Block-Digest", _base32(block)), ("Content-Length", str(len(block)))])
+    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("WARC-Block-Digest", _base32(hashlib.sha1(block).digest())), ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -124,9 +124,13 @@ def _archives(rows: Iterator[bytes], head, trail: bytes) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pydict({"value": [b"".join(parts)[: -len(trail)].decode()]})
 
 
-def _write(archives: DataFrame, path: str, trail: str) -> None:
-    """A gzip file for each row, by Spark's own writer, so any file system that it knows will do."""
-    archives.write.option("maxRecordsPerFile", 1).option("lineSep", trail).option("compression", "gzip").text(path)
+def _write(archives: DataFrame, path: str, trail: str, compression: str) -> None:
+    """A file for each row, by Spark's own writer, so any file system that it knows will do."""
+    archives.write.option("maxRecordsPerFile", 1).option("lineSep", trail).option("compression", compression).text(path)
+
+
+def _plain(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -150,21 +154,21 @@ def write_arc(pages: DataFrame, path: str, *, date: str = "20240101000000") -> N
 
         yield from _archives(records(), lambda n: arc_head(at["part"] % 2 + 1, f"{at['part']:05d}-{n:05d}.arc", date), b"\n")
 
-    _write(rows.mapInArrow(run, "value string"), path, "\n")
+    _write(rows.mapInArrow(run, "value string"), path, "\n", "gzip")
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC archives; a broken one raises."""
+def arc_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of ARC archives, with their payloads or only their sizes and SHA-1; a broken archive raises."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 found: list[tuple] = []
                 size = 0
-                for url, ip, date, mime, content in parse_arc(gzip.decompress(data.as_py())):
+                for url, ip, date, mime, content in parse_arc(_plain(data.as_py())):
                     head, _, payload = content.partition(b"\r\n\r\n")
                     page = re.search(rb"(?im)^X-Page-Id: (\S+)", head)
-                    found.append((page[1].decode() if page else None, url, ip, date, mime, payload))
+                    found.append((page[1].decode() if page else None, url, ip, date, mime, len(payload), hashlib.sha1(payload).hexdigest(), payload if payloads else None))
                     size += len(payload)
                     if size > 4 << 20:
                         yield _batch(found)
@@ -176,8 +180,8 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 5 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["page_id", "url", "ip", "date", "mime", "payload"])
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["page_id", "url", "ip", "date", "mime", "size", "digest", "payload"])
 
 
 def arc_to_warc(spark: SparkSession, arc: str, warc: str) -> None:
@@ -187,20 +191,19 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str) -> None:
     others are revisits of it; rows that repeat this number are responses too.  Which payloads recur is counted by
     digest before a shuffle, written, and joined: small, it is broadcast by Spark; else its large groups are split.
     """
-    records = arc_records(spark, arc).withColumn("digest", F.sha1("payload"))
-    met = records.filter(F.length("payload") >= REVISIT_BYTES).select("digest", F.expr("try_cast(page_id AS long)").alias("n"))
+    met = arc_records(spark, arc, payloads=False).filter(F.col("size") >= REVISIT_BYTES).select("digest", F.expr("try_cast(page_id AS long)").alias("n"))
     again = met.groupBy("digest").agg(F.max("n").alias("refers"), F.count("*").alias("times")).filter("times > 1 AND refers IS NOT NULL")
     again = materialize(again.select(F.col("digest").alias("d"), "refers"))
-    joined = records.join(again, (F.col("digest") == F.col("d")) & (F.length("payload") >= REVISIT_BYTES), "left").drop("d")
+    joined = arc_records(spark, arc).join(again, (F.col("digest") == F.col("d")) & (F.col("size") >= REVISIT_BYTES), "left").drop("d", "size")
 
     def run(batches):
         def records():
             for batch in batches:
-                for page, url, ip, date, mime, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page, url, ip, date, mime, digest, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     page = page or "-"
                     revisit = refers is not None and page != str(refers)
                     head = http_block(page, payload, mime)
-                    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, digest)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", url), ("WARC-IP-Address", ip), ("WARC-Payload-Digest", _base32(payload)), ("Content-Type", "application/http; msgtype=response")]
+                    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, digest)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", url), ("WARC-IP-Address", ip), ("WARC-Payload-Digest", _base32(bytes.fromhex(digest))), ("Content-Type", "application/http; msgtype=response")]
                     if revisit:
                         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(str(refers), digest)), ("X-Refers-To-Page", str(refers))]
                     yield warc_record(fields, head if revisit else head + payload)
@@ -211,7 +214,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str) -> None:
 
         yield from _archives(records(), head, b"\r\n\r\n")
 
-    _write(joined.mapInArrow(run, "value string"), warc, "\r\n\r\n")
+    _write(joined.mapInArrow(run, "value string"), warc, "\r\n\r\n", "none")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +227,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 found = []
-                for fields, block in parse_warc(gzip.decompress(data.as_py())):
+                for fields, block in parse_warc(_plain(data.as_py())):
                     if (kind := fields["warc-type"]) not in ("response", "revisit"):
                         continue
                     head, _, payload = block.partition(b"\r\n\r\n")
