@@ -6,6 +6,7 @@ from kvspark.llm.jaccard import op2_jaccard
 from kvspark.llm.lm import op8_lm
 from kvspark.llm.mixing import op4_mix
 from kvspark.llm.secrets import op3_secrets
+from kvspark.llm.substrings import op6_substrings
 from kvspark.llm.tokens import op10_tokens
 from kvspark.llm.toxicity import op1_toxicity
 from kvspark.llm.vectors import op5_vectors
@@ -13,7 +14,7 @@ from kvspark.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard": op2_jaccard, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op5_vectors": op5_vectors, "op8_lm": op8_lm, "op9_warc": op9_warc, "op10_tokens": op10_tokens}
+    return {"op1_toxicity": op1_toxicity, "op2_jaccard": op2_jaccard, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op5_vectors": op5_vectors, "op6_substrings": op6_substrings, "op8_lm": op8_lm, "op9_warc": op9_warc, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
