@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from kvspark.llm.contamination import op7_contamination
 from kvspark.llm.jaccard import op2_jaccard
 from kvspark.llm.lm import op8_lm
 from kvspark.llm.mixing import op4_mix
@@ -14,7 +16,7 @@ from kvspark.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_jaccard": op2_jaccard, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op5_vectors": op5_vectors, "op6_substrings": op6_substrings, "op8_lm": op8_lm, "op9_warc": op9_warc, "op10_tokens": op10_tokens}
+    return {"pipeline": corpus_pipeline.run, "op1_toxicity": op1_toxicity, "op2_jaccard": op2_jaccard, "op3_secrets": op3_secrets, "op4_mix": op4_mix, "op5_vectors": op5_vectors, "op6_substrings": op6_substrings, "op7_contamination": op7_contamination, "op8_lm": op8_lm, "op9_warc": op9_warc, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
