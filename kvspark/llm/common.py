@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; bounds a worker's memory, never the result.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, on which Spark removes the shuffle files of plans that are done with.
+
+    Else they stay for up to spark.cleaner.periodicGC.interval, long after materialize() has made them useless.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """Marks a written table for broadcast if its counted rows are within the bound; else a shuffle joins it."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kvspark.llm.common import components, long_array, materialize, mix, shingles, slices, text_bytes, word_hashes
+from kvspark.llm.common import components, long_array, materialize, mix, release, shingles, slices, text_bytes, word_hashes
 
 _U = np.uint64
 WIDTH = 5
 #: Members of one block when a bucket's pairs are compared block by block.
-BLOCK = 128
-#: Rounds in which a bucket's members are compared with one leader before blocks are.
-ROUNDS = 3
+BLOCK = 256
+#: Most members outside a bucket's largest component whose pairs are listed.
+FEW = 32
 #: Sampled shingles of a set by which sets that share nothing are put aside before they are signed.
 SAMPLED = 24
 
@@ -171,33 +171,49 @@ def _blocks(key, table):
 def link_classes(sets: DataFrame) -> DataFrame:
     """(key, component) of the sets (key, n, items) that link with another one; component is a key.
 
-    Members of a bucket are compared with a leader; buckets that hold several components after that are compared
-    with other leaders, and what then still differs block by block, so that no link between components is lost and
-    links within a component needn't be found.
+    Members of a bucket are compared with its least one; in buckets that hold several components after that, the
+    others are compared with a member of the largest.  Where few remain outside the largest, these are compared with
+    all members of other components; other buckets that still hold several are compared block by block.  So no link
+    between components is lost, and links within a component needn't be found.
     """
     postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, own int, ahead int")
     met = materialize(postings.groupBy("sig").agg(F.count("*").alias("members"), F.min("key").alias("lead")).filter("members > 1"))
     shared = materialize(postings.join(met, "sig"))
+    release(sets.sparkSession)
     least = F.greatest(F.sum("own"), F.sum("ahead")).alias("least")
-    pairs = shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(least)
-    links = materialize(_linked(materialize(pairs), sets))
+    checked = materialize(shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(least))
+    links = materialize(_linked(checked, sets))
+    release(sets.sparkSession)
+    checked = checked.select("a", "b")
     # Buckets of equal members count once.
     groups = shared.filter("members > 2").groupBy("sig", "members").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("all"))
-    one = materialize(groups.groupBy("members", "all").agg(F.min("sig").alias("sig")).select("sig"))
-    member = materialize(shared.filter("members > 2").select("sig", "key", "members").join(one, "sig"))
-    for r in range(ROUNDS + 1):
+    one = groups.groupBy("members", "all").agg(F.min("sig").alias("sig")).select("sig")
+    member = materialize(shared.filter("members > 2").select("sig", "key", "members").join(materialize(one), "sig"))
+    for r in (1, 2, 3):
         reached = components(links)
-        known = member.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        known = materialize(known)
-        mixed = known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(r))).alias("to")).filter("x <> y").select("sig", "to")
-        open_ = materialize(known.join(materialize(mixed), "sig"))
-        if open_.isEmpty():
+        known = materialize(member.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+        parts = known.groupBy("sig", "members", "component").agg(F.count("*").alias("k"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("lead"))
+        mixed = parts.groupBy("sig").agg(F.max_by(F.struct("component", "lead", "k"), F.struct("k", "component")).alias("most"), F.sum("k").alias("all")).filter("all > most.k")
+        member = materialize(known.join(materialize(mixed), "sig"))
+        if member.isEmpty():
             return reached
-        if r < ROUNDS:
-            pairs = open_.filter(F.col("component") != F.col("to.component")).select(F.col("to.key").alias("a"), F.col("key").alias("b")).distinct().withColumn("least", F.lit(0).cast("long"))
-            links = materialize(links.unionByName(_linked(materialize(pairs), sets)))
+        if r == 3:
+            break
+        other = F.col("component") != F.col("most.component")
+        if r == 1:  # all meet a member of the bucket's largest component
+            pairs = member.filter(other).select(F.col("most.lead").alias("x"), F.col("key").alias("y"))
+        else:  # few that lie outside the largest component meet all others
+            few = member.filter(F.col("all") - F.col("most.k") <= FEW)
+            out = few.filter(other).select("sig", F.col("key").alias("x"), F.col("component").alias("c"))
+            pairs = few.select("sig", F.col("key").alias("y"), "component").join(out, "sig").filter("component <> c").select("x", "y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti").withColumn("least", F.lit(0).cast("long")))
+        checked = checked.unionByName(pairs.select("a", "b"))
+        links = materialize(links.unionByName(_linked(pairs, sets)))
+        release(sets.sparkSession)
+        member = member.filter((F.lit(r) == 1) | (F.col("all") - F.col("most.k") > FEW)).select("sig", "key", "members")
     n = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = open_.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    placed = member.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     placed = placed.withColumn("ij", F.explode(meets)).select("sig", "key", "component", "block", "ij.*").join(sets.select("key", "items"), "key")
     more = placed.groupBy("sig", "i", "j").applyInArrow(_blocks, "a long, b long")
@@ -226,6 +242,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     some = materialize(some.select(F.col("key").alias("want"), "id").filter("id IS NOT NULL"))
     sets = rows.join(some, "id").select("id", "text", "want").mapInArrow(_sets, "key long, n long, items array<long>")
     sets = materialize(sets)
+    release(sets.sparkSession)
     reached = materialize(link_classes(sets))
     # Ids that occur with several texts tie these together.
     owners = narrow.filter("n > 0").select("id", "key").distinct().join(reached.withColumnRenamed("node", "key"), "key", "left")

@@ -19,7 +19,7 @@ from kvspark.llm.common import _U, materialize, prefix_sums, range_hash, slices,
 LENGTH = 400
 GRAM = 32
 #: Bytes of runs in one group, and runs of one anchor beyond which its windows are counted by hash in Spark instead.
-GROUP_BYTES, MOST_RUNS = 1 << 20, 500
+GROUP_BYTES, MOST_RUNS = 1 << 20, 48
 
 
 def window_runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
