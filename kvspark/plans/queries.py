@@ -157,7 +157,7 @@ def multi_cf_scan(s, d):
     return C.latest(both, SNAP, ("cf", "key")).select("cf", *KSV)
 
 
-@query(f"WITH {LOG}, at AS (SELECT unnest([1000, 3000, 5000, 9000]) AS snap), r AS (SELECT snap, log.*, row_number() OVER (PARTITION BY snap, key ORDER BY seq DESC) AS rn FROM log JOIN at ON seq <= snap) SELECT CAST(snap AS BIGINT) AS snap, key, seq, value FROM r WHERE rn = 1 AND op = 'PUT'")
+@query(f"WITH {LOG}, snaps AS (SELECT unnest([1000, 3000, 5000, 9000]) AS snap), r AS (SELECT snap, log.*, row_number() OVER (PARTITION BY snap, key ORDER BY seq DESC) AS rn FROM log JOIN snaps ON seq <= snap) SELECT CAST(snap AS BIGINT) AS snap, key, seq, value FROM r WHERE rn = 1 AND op = 'PUT'")
 def asof_multi_snapshot(s, d):
     return C.snapshots(events_log(s, d), [1000, 3000, 5000, 9000]).withColumn("snap", F.col("snap").cast("long"))
 
