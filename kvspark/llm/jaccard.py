@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kvspark.llm.common import components, long_array, materialize, mix, release, shingles, slices, text_bytes, word_hashes
 
@@ -66,9 +66,10 @@ def set_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(h), counts) + counts.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, own, next): own and next are the elements that a part's signature stands for in the set's own or
-    next band, 0 for signatures of several parts, whose parts overlap."""
+def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(set, signature, own, next, tag, spare): own and next are the elements that a part's signature stands for in the
+    set's own or next band, 0 for signatures of several parts, whose parts overlap; tag is the band that is signed for;
+    sets that link share more than spare of the set's signatures for it."""
     out: list[tuple[np.ndarray, ...]] = []
     band = np.searchsorted(BANDS, counts, "right") - 1
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -91,7 +92,9 @@ def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         single = (k[of] > 3) & ((size > 0) | (empty >= n - k)[of])
         sig = mix(sums[single] + mix(seed[of[single]] + number[single].astype(np.uint64)))
         w = size[single]
-        out.append((of[single], sig, w * (1 - ahead), w * ahead))
+        # n - k parts agree at least, of which only those that aren't empty sign.
+        spare = np.where(empty >= n - k, 0, n - k - empty - 1)
+        out.append((of[single], sig, w * (1 - ahead), w * ahead, tag[of[single]], spare[of[single]]))
         for few in range(4):
             sets = np.flatnonzero((k == few) & (counts > 0))
             if not sets.size:
@@ -102,7 +105,7 @@ def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 for p in parts:
                     s = mix(s + sums[base[sets] + p] + _U(p))
                 zero = np.zeros(len(sets), np.int64)
-                out.append((sets, mix(s + mix(seed[sets] + _U(1 << 40 | c))), zero, zero))
+                out.append((sets, mix(s + mix(seed[sets] + _U(1 << 40 | c))), zero, zero, tag[sets], zero))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -135,9 +138,9 @@ def _postings(batches):
             part = batch.slice(k, 2000)
             items = part.column(1)
             counts = np.diff(items.offsets.to_numpy())
-            doc, sig, own, ahead = signatures(items.flatten().to_numpy(zero_copy_only=False).view(np.uint64), counts)
+            doc, sig, *numbers = signatures(items.flatten().to_numpy(zero_copy_only=False).view(np.uint64), counts)
             keys = part.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys), pa.array(own.astype(np.int32)), pa.array(ahead.astype(np.int32))], ["sig", "key", "own", "ahead"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys), *(pa.array(x.astype(np.int32)) for x in numbers)], ["sig", "key", "own", "ahead", "tag", "spare"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,6 +171,25 @@ def _blocks(key, table):
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+def _mixed(member: DataFrame, r: int) -> DataFrame:
+    """Of members (sig, key, component, ...) those of buckets with several components: most is the largest one with a
+    member of it, all the number of members."""
+    parts = member.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("lead"))
+    mixed = parts.groupBy("sig").agg(F.max_by(F.struct("component", "lead", "k"), F.struct("k", "component")).alias("most"), F.sum("k").alias("all")).filter("all > most.k")
+    return member.join(materialize(mixed), "sig")
+
+
+def _needed(member: DataFrame) -> DataFrame:
+    """Members of mixed buckets, without those places of a set that lie in its most frequent buckets, spare in all.
+
+    Two sets of different components that link share more than spare of the set's signatures, all of them in mixed
+    buckets; in an order that is the same for all, the first of these is followed by the others, so it isn't among the
+    last ones of either set, which are left out.  What many documents share says no more than what few share.
+    """
+    by = Window.partitionBy("key", "tag").orderBy(F.desc("members"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    return member.withColumn("place", F.sum("times").over(by)).filter("place > spare").drop("place", "most", "all")
+
+
 def link_classes(sets: DataFrame) -> DataFrame:
     """(key, component) of the sets (key, n, items) that link with another one; component is a key.
 
@@ -176,7 +198,7 @@ def link_classes(sets: DataFrame) -> DataFrame:
     all members of other components; other buckets that still hold several are compared block by block.  So no link
     between components is lost, and links within a component needn't be found.
     """
-    postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, own int, ahead int")
+    postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, own int, ahead int, tag int, spare int")
     met = materialize(postings.groupBy("sig").agg(F.count("*").alias("members"), F.min("key").alias("lead")).filter("members > 1"))
     shared = materialize(postings.join(met, "sig"))
     release(sets.sparkSession)
@@ -185,33 +207,36 @@ def link_classes(sets: DataFrame) -> DataFrame:
     links = materialize(_linked(checked, sets))
     release(sets.sparkSession)
     checked = checked.select("a", "b")
-    # Buckets of equal members count once.
-    groups = shared.filter("members > 2").groupBy("sig", "members").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("all"))
-    one = groups.groupBy("members", "all").agg(F.min("sig").alias("sig")).select("sig")
-    member = materialize(shared.filter("members > 2").select("sig", "key", "members").join(materialize(one), "sig"))
+    # Buckets of one band with equal members are one, which counts times.
+    groups = shared.filter("members > 2").groupBy("sig", "tag", "members").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("all"))
+    one = groups.groupBy("tag", "members", "all").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "times")
+    member = materialize(shared.filter("members > 2").select("sig", "key", "members", "tag", "spare").join(materialize(one), "sig"))
     for r in (1, 2, 3):
         reached = components(links)
         known = materialize(member.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-        parts = known.groupBy("sig", "members", "component").agg(F.count("*").alias("k"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("lead"))
-        mixed = parts.groupBy("sig").agg(F.max_by(F.struct("component", "lead", "k"), F.struct("k", "component")).alias("most"), F.sum("k").alias("all")).filter("all > most.k")
-        member = materialize(known.join(materialize(mixed), "sig"))
-        if member.isEmpty():
+        mixed = materialize(_mixed(known, r))
+        if r < 3:
+            member = mixed.select("sig", "key", "members", "tag", "spare", "times")
+            mixed = materialize(_mixed(materialize(_needed(mixed)), r))
+        if mixed.isEmpty():
             return reached
         if r == 3:
             break
         other = F.col("component") != F.col("most.component")
         if r == 1:  # all meet a member of the bucket's largest component
-            pairs = member.filter(other).select(F.col("most.lead").alias("x"), F.col("key").alias("y"))
+            pairs = mixed.filter(other).select(F.col("most.lead").alias("x"), F.col("key").alias("y"))
         else:  # few that lie outside the largest component meet all others
-            few = member.filter(F.col("all") - F.col("most.k") <= FEW)
+            few = mixed.filter(F.col("all") - F.col("most.k") <= FEW)
             out = few.filter(other).select("sig", F.col("key").alias("x"), F.col("component").alias("c"))
             pairs = few.select("sig", F.col("key").alias("y"), "component").join(out, "sig").filter("component <> c").select("x", "y")
+            member = mixed.filter(F.col("all") - F.col("most.k") > FEW).select("sig", "key", "members", "tag", "spare", "times")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti").withColumn("least", F.lit(0).cast("long")))
         checked = checked.unionByName(pairs.select("a", "b"))
         links = materialize(links.unionByName(_linked(pairs, sets)))
         release(sets.sparkSession)
-        member = member.filter((F.lit(r) == 1) | (F.col("all") - F.col("most.k") > FEW)).select("sig", "key", "members")
+    # What is left is compared block by block.
+    member = mixed.select("sig", "key", "component", F.col("all").alias("members"))
     n = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = member.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
