@@ -129,8 +129,8 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return range_hash(prefix_sums(low), start, end) if len(start) else np.zeros(0, np.uint64), row
 
 
-def shingles(words: np.ndarray, row: np.ndarray, n_rows: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted by row and hash; a row of fewer words gives its whole sequence as one."""
+def ordered_shingles(words: np.ndarray, row: np.ndarray, n_rows: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their rows, in the order of the text; a row of fewer words gives its whole sequence as one."""
     count = np.bincount(row, minlength=n_rows)
     at = np.concatenate([[0], np.cumsum(count)])
     made = np.maximum(np.where(count > 0, 1, 0), count - width + 1)
@@ -143,6 +143,12 @@ def shingles(words: np.ndarray, row: np.ndarray, n_rows: int, width: int = 5) ->
     for k in range(width):
         inside = k < length
         h = np.where(inside, mix(h + words[np.minimum(begin + k, len(words) - 1)] + _P), h)
+    return h, doc
+
+
+def shingles(words: np.ndarray, row: np.ndarray, n_rows: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, sorted by row and hash."""
+    h, doc = ordered_shingles(words, row, n_rows, width)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), bool)

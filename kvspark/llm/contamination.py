@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from kvspark.llm.common import _U, mix, shingles, slices, text_bytes, word_hashes
+from kvspark.llm.common import _U, mix, ordered_shingles, shingles, slices, text_bytes, word_hashes
 
 PERMUTATIONS = 64
 CONTAINED = 0.8
@@ -69,17 +69,6 @@ class Items:
         return out
 
 
-def in_order(words: np.ndarray, width: int = 5) -> np.ndarray:
-    """Shingle hashes of one row's words in the order of the text, as shingles() makes them."""
-    if len(words) == 0:
-        return np.zeros(0, np.uint64)
-    n, m = max(1, len(words) - width + 1), min(width, len(words))
-    h = np.full(n, m, np.uint64)
-    for k in range(m):
-        h = mix(h + words[k : k + n] + np.uint64(0x9E3779B97F4A7C15))
-    return h
-
-
 def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", other_cols: tuple[str, ...] = ()) -> DataFrame:
     """(id, other_cols..., n_items, items array<struct<item, shared, size, containment>>) of each row of docs.
 
@@ -120,14 +109,13 @@ def _search(rows: DataFrame, items: Items, kind: T.DataType, more: bool) -> Data
             buf, offsets = text_bytes(batch.column(1))
             lists = batch.column(len(names)).to_pylist() if more else [[] for _ in range(batch.num_rows)]
             for a, b in slices(offsets):
-                words, row = word_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at = np.searchsorted(row, np.arange(b - a + 1))
-                for i in range(b - a):
-                    ordered = in_order(words[at[i] : at[i + 1]])
-                    if it.filter[(ordered & np.uint64((1 << 20) - 1)).astype(np.int64)].any():
-                        for k, n in it.contained(ordered):
-                            size = int(it.at[k + 1] - it.at[k])
-                            lists[a + i].append({"item": it.ids[k], "shared": n, "size": size, "containment": n / size})
+                h, doc = ordered_shingles(*word_hashes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a)
+                hit = np.flatnonzero(it.filter[(h & _U((1 << 20) - 1)).astype(np.int64)])
+                hit = np.unique(doc[hit[np.isin(h[hit], it.wanted)]])
+                for i, first, last in zip(hit.tolist(), np.searchsorted(doc, hit).tolist(), np.searchsorted(doc, hit, "right").tolist(), strict=True):
+                    for k, n in it.contained(h[first:last]):
+                        size = int(it.at[k + 1] - it.at[k])
+                        lists[a + i].append({"item": it.ids[k], "shared": n, "size": size, "containment": n / size})
             target = pa.list_(pa.struct([("item", to_arrow_type(kind)), ("shared", pa.int64()), ("size", pa.int64()), ("containment", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(lists, target)], [*names, "items"])
 
