@@ -19,7 +19,7 @@ from kvspark.llm.common import _U, materialize, prefix_sums, range_hash, slices,
 LENGTH = 400
 GRAM = 32
 #: Bytes of runs in one group, and runs of one anchor beyond which its windows are counted by hash in Spark instead.
-GROUP_BYTES, MOST_RUNS = 1 << 20, 48
+GROUP_BYTES, MOST_RUNS = 48 << 10, 48
 
 
 def window_runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -59,7 +59,11 @@ def transform(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
         ahead = np.zeros(len(rank), np.int64)
         ahead[:-step or None] = rank[step:] + 1 if step < len(rank) else 0
         key = rank * (len(rank) + len(parts) + 258) + ahead
-        order = np.argsort(key, kind="stable")
+        if len(rank) + len(parts) + 258 < 1 << 16:  # short enough for two passes of numpy's radix sort
+            order = np.argsort(ahead.astype(np.uint16), kind="stable")
+            order = order[np.argsort(rank[order].astype(np.uint16), kind="stable")]
+        else:
+            order = np.argsort(key, kind="stable")
         new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty_like(new)
         rank[order] = new
