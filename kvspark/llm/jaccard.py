@@ -193,8 +193,8 @@ def _needed(member: DataFrame) -> DataFrame:
 def link_classes(sets: DataFrame) -> DataFrame:
     """(key, component) of the sets (key, n, items) that link with another one; component is a key.
 
-    Members of a bucket are compared with its least one; in buckets that hold several components after that, the
-    others are compared with a member of the largest.  Where few remain outside the largest, these are compared with
+    Members of a bucket of two are compared; others with that one of their buckets' least members with which they share
+    most.  In buckets that hold several components after that, the others are compared with a member of the largest.  Where few remain outside the largest, these are compared with
     all members of other components; other buckets that still hold several are compared block by block.  So no link
     between components is lost, and links within a component needn't be found.
     """
@@ -203,7 +203,10 @@ def link_classes(sets: DataFrame) -> DataFrame:
     shared = materialize(postings.join(met, "sig"))
     release(sets.sparkSession)
     least = F.greatest(F.sum("own"), F.sum("ahead")).alias("least")
-    checked = materialize(shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(least))
+    met_lead = shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(least, F.min("members").alias("members"))
+    met_lead = materialize(met_lead)
+    best = met_lead.groupBy("b").agg(F.max(F.struct("least", "a")).alias("x")).select("x.a", "b", "x.least")
+    checked = materialize(met_lead.filter("members = 2").select("a", "b", "least").unionByName(best).distinct())
     links = materialize(_linked(checked, sets))
     release(sets.sparkSession)
     checked = checked.select("a", "b")
