@@ -143,13 +143,13 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """(id, train_tokens, n_tokens, n_known, base_score, score) of each row, learning from the rows where train holds.
 
     score is the sum over a text's tokens of log10(0.6 * min(1, c(uv) / c(u)) + 0.4 * (c(v) + 0.1) / (N + 0.1 (V + 1)))
-    with the counts that the filter gives for words and for bigrams seen twice or more; base_score has the exact counts
+    with the counts that the filter gives for words and for bigrams, those seen once too; base_score has the exact counts
     of words alone.  Texts are read whole; null and empty ones are an end alone; without training rows every count is
     0; an empty table gives an empty table; repeated rows and null ids stay rows of their own.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    table = materialize(counts(rows.filter("train").select("text")).filter("order = 1 OR n > 1"))
+    table = materialize(counts(rows.filter("train").select("text")))
     words = table.filter("order = 1").select("h", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = words.filter(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -215,6 +215,12 @@ def test_lm_base_counts(spark):
     assert lm.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_bigrams_seen_once(spark):
+    rows = [(i, f"a{i} b{i}") for i in range(300)] + [(1000 + i, f"a{i} b{i}") for i in range(300)] + [(2000 + i, f"a{i} b{(i + 1) % 300}") for i in range(300)]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert sum(got[1000 + i] - got[2000 + i] > 2 for i in range(300)) > 285
+
+
 def test_lm_filter_levels():
     rng = np.random.default_rng(2)
     h, n = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(1, 500, 5000)
