@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kvspark.llm.common import _U, materialize, prefix_sums, range_hash, slices, text_bytes
+from kvspark.llm.common import _U, SLICE_BYTES, materialize, prefix_sums, range_hash, slices, text_bytes
 
 LENGTH = 400
 GRAM = 32
@@ -27,11 +27,19 @@ def window_runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
     size = np.diff(offsets)
     if not len(buf) or size.max() < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    if len(buf) >= SLICE_BYTES + length:  # in parts that share no window; a run across their border becomes two
+        parts = []
+        for k in np.flatnonzero(size >= length):
+            for s in range(0, int(size[k]) - length + 1, SLICE_BYTES):
+                part = buf[offsets[k] + s : min(offsets[k] + s + SLICE_BYTES + length - 1, offsets[k + 1])]
+                row, anchor, content, start, n = window_runs(part, np.array([0, len(part)]), length)
+                parts.append((row + k, anchor, content, start + s, n))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
     gram, span = min(GRAM, length), length - min(GRAM, length) + 1
     sums = prefix_sums(buf)
     at = np.arange(len(buf) - gram + 1)
     h = range_hash(sums, at, at + gram)
-    # Least value of each span of k-grams by block-wise running minima from both sides.
+    # Least value of each span of k-grams by block-wise running minima from both sides; positions fit in 24 bits.
     value = (h >> _U(24) << _U(24)) | at.astype(np.uint64)
     blocks = -(-len(value) // span)
     padded = np.full(blocks * span, np.iinfo(np.uint64).max)

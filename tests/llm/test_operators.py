@@ -165,6 +165,19 @@ def test_substrings_against_all_windows(spark):
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
 
 
+def test_substrings_behind_sixteen_mib(spark):
+    rng = np.random.default_rng(11)
+    noise = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    p, head = noise(900), noise((1 << 24) + 5000)
+    for at in (len(head), (1 << 20) - 300):
+        text = head[:at] + p + head[at:]
+        docs = spark.createDataFrame([(1, text), (2, "!" + p + "?"), (3, noise(900))], "doc_id long, text string")
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect()}
+        want = [(1, text, head), (2, "!" + p + "?", "!?")]
+        assert {k: got[k] for k in (1, 2)} == {k: (len(t), 900, 1, hashlib.sha256(rest.encode()).hexdigest()) for k, t, rest in want}
+        assert got[3][1] == 0
+
+
 # 7
 
 
