@@ -113,7 +113,7 @@ def _narrow(batches):
     for batch in batches:
         h, counts = text_sets(batch.column(1))
         at = np.concatenate([[0], np.cumsum(counts)])
-        # Any set that can link with this one samples as coarsely as that set or finer.
+        # A larger set that links with this one may sample half as much; this one then meets about half of its own sample.
         shift = sample_shift(counts * 4 // 5)
         take = h & ((_U(1) << shift.astype(np.uint64)) - _U(1)).repeat(counts) == 0
         n0 = np.concatenate([[0], np.cumsum(take)])[at]
@@ -256,8 +256,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shingles and stay alone.  Equal sets link, and rows of one id are one; a null id gets a null component unless it
     is linked with another.  An empty table gives an empty table; other columns of docs are not read.  Sets are told
     apart by 64-bit hashes.  Before sets are signed, those are put aside that share less than an eighth of a sample of
-    16 or more shingles with all other sets together, of which a set with a link shares four fifths on average: the
-    chance that a link is lost that way is below 1e-9.
+    16 or more shingles with all other sets together.  A set with a link meets four fifths of its sample on average, or
+    0.44 where the other samples half as much: the chance to lose a link is then about 3e-7 (summed as Poisson).
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
