@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,30 +16,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own in local mode and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(spark, "_kvspark_shared", None) or "file://" + tempfile.mkdtemp(prefix="kvspark-")
         spark._kvspark_shared = at
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage is cut, executors may go."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/kvspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Within it, Spark removes a query's shuffle files when the query ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to collect its garbage, on which Spark removes the shuffle files of plans that are done with.
+def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it again: lineage is cut, executors may go.
 
-    Else they stay for up to spark.cleaner.periodicGC.interval, long after materialize() has made them useless.
+    done: earlier results of this function that nothing but df reads; they are deleted once df is written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark, at = df.sparkSession, shared_dir(df.sparkSession)
+    base = "kvspark_" + hashlib.sha1(at.encode()).hexdigest()[:12]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{at}/{base}'")
+    table = f"{base}.t_{uuid.uuid4().hex}"
+    with _cleaning(spark):
+        df.write.format("parquet").saveAsTable(table)
+    drop(*done)
+    return _table(spark.table(table), table)
+
+
+def _table(df: DataFrame, name: str) -> DataFrame:
+    df._kvspark_table = name
+    return df
+
+
+def drop(*done: DataFrame) -> None:
+    """Deletes tables that materialize() has written."""
+    for df in done:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._kvspark_table}")
 
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
@@ -53,7 +79,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_POWERS: list[np.ndarray] = []
+#: P**i and P**-i modulo 2**64 of the first places, and of every so many places; the latter grow by 16 bytes a block of text.
+_BLOCK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,27 +90,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        inverse = _U(pow(int(_P), -1, 1 << 64))
-        _POWERS[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, p, np.uint64)])) for p in (_P, inverse)]
-    return _POWERS[0], _POWERS[1]
+def _series(p: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(p % 2**64))]))
+
+
+_DOWN = pow(int(_P), -1, 1 << 64)
+_NEAR = {p: _series(p, _BLOCK) for p in (int(_P), _DOWN)}
+
+
+def _power(p: int, i: np.ndarray) -> np.ndarray:
+    """p**i modulo 2**64."""
+    if not len(i) or (last := int(i.max())) < _BLOCK:
+        return _NEAR[p][i]
+    return _NEAR[p][i % _BLOCK] * _series(pow(p, _BLOCK, 1 << 64), last // _BLOCK + 1)[i // _BLOCK]
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Polynomial prefix hash of a byte array; one longer than it."""
-    up, _ = powers(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=out[1:])
+    for a in range(0, len(buf), _BLOCK):
+        part = _BYTE[buf[a : a + _BLOCK]] * _NEAR[int(_P)][: len(buf) - a]
+        part *= _U(pow(int(_P), a, 1 << 64))
+        np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
+        out[a + 1 : a + 1 + len(part)] += out[a]
     return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges [start, end); equal bytes give equal hashes wherever they lie."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * _power(_DOWN, start) + (end - start).astype(np.uint64))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +212,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m"), ((smaller > 1) | ((smaller > 0) & (larger > 0))).alias("open"))
         low = materialize(low.select("u", F.least("u", "m").alias("m"), "open"))
         if low.filter("open").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            drop(low)
+            return _table(e.select(F.col("u").alias("node"), F.col("v").alias("component")), e._kvspark_table)
         # large star: each larger neighbour of u is tied to the least neighbour of u
         large = e.select(F.col("u").alias("big"), F.col("v").alias("u")).join(low, "u").select(F.col("big").alias("u"), F.col("m").alias("v"))
         # the node itself is tied to its least neighbour as well
-        large = materialize(large.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v"))
+        large = materialize(large.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v"), e, low)
         # small star: smaller neighbours of u are tied to the least of them
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         e = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(e.filter("u <> v").distinct())
+        e = materialize(e.filter("u <> v").distinct(), large, least)

@@ -1,9 +1,15 @@
 """Exact set-similarity join on word shingles by PartEnum signatures.
 
-Two sets of at most r elements with Jaccard similarity 4/5 differ in at most k = 2r/9 elements.  The domain is split
-in n parts by hash; at least n - k parts hold the same elements of both sets, so sets that link share a signature:
-a part's projection where k is large, the projection on a subset of n - k parts where it is small.  Sizes go in bands
-[l, 5l/4]; a set signs for its own band and the next, which is where sets that can link with it lie.
+Two sets of at most r elements with Jaccard similarity 4/5 differ in at most k = 2r/9 elements.  The domain is split by
+hash in n1 parts and each of these in three.  At most k/2 of the n1 parts hold two differing elements or more; in every
+other one, at least two of the three smaller parts agree.  A set signs, for each of the n1 parts, the three subsets of
+two of its smaller parts, so sets that link share at least n1 - k/2 signatures.  Small sets (k <= 3) have one part, split
+in k + 3, and sign every subset of three.  Sizes go in bands [l, 5l/4]; a set signs for its own band and the next, which
+is where sets that can link with it lie.
+
+Before that, sets are put aside that can't link by an exact filter.  A set of n elements has at most n/5 outside of any
+set that it links with; if more of its elements than that are in no other set, nothing links with it.  A fixed share of
+the domain is enough to look at, as what is seen there of elements of its own is a lower bound.
 """
 
 from __future__ import annotations
@@ -14,16 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kvspark.llm.common import components, long_array, materialize, mix, release, shingles, slices, text_bytes, word_hashes
+from kvspark.llm.common import components, drop, long_array, materialize, mix, shingles, slices, text_bytes, word_hashes
 
 _U = np.uint64
 WIDTH = 5
 #: Members of one block when a bucket's pairs are compared block by block.
 BLOCK = 256
-#: Most members outside a bucket's largest component whose pairs are listed.
-FEW = 32
-#: Sampled shingles of a set by which sets that share nothing are put aside before they are signed.
-SAMPLED = 24
+#: Elements whose hash lies below this are counted over all sets: three of ten.
+LOOKED_AT = _U(2**64 * 3 // 10)
+#: Rows of one call that compares the blocks of buckets.
+CALL_ROWS = 4000
 
 
 def _bounds() -> np.ndarray:
@@ -37,11 +43,6 @@ def _bounds() -> np.ndarray:
 BANDS = _bounds()
 
 
-def sample_shift(n: np.ndarray) -> np.ndarray:
-    """A set of n elements samples those whose hash ends in so many zero bits."""
-    return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / SAMPLED))).astype(np.int64)
-
-
 def text_sets(column) -> tuple[np.ndarray, np.ndarray]:
     """Flat shingles of the rows of a text column, sorted within a row, and the number of each row."""
     buf, offsets = text_bytes(column)
@@ -66,67 +67,81 @@ def set_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(h), counts) + counts.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
+def _sign_few(h: np.ndarray, counts: np.ndarray, tag: np.ndarray, k: int):
+    """Signatures of sets that differ in k <= 3 elements at most: each subset of three of k + 3 parts (one part for 0)."""
+    n, doc = (k + 3 if k else 1), np.repeat(np.arange(len(counts)), counts)
+    seed = mix(tag.astype(np.uint64) + _U(77))
+    part = doc * n + (mix(h + seed[doc]) % _U(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    size = np.bincount(part, minlength=n * len(counts))
+    sums = mix(_sums(mix(h[order] ^ _U(0x5851F42D4C957F2D)), size) + size.astype(np.uint64)).reshape(-1, n)
+    zero = np.zeros(len(counts), np.int64)
+    for c, chosen in enumerate(combinations(range(n), min(n, 3))):
+        sig = np.zeros(len(counts), np.uint64)
+        for p in chosen:
+            sig = mix(sig + sums[:, p] + _U(p))
+        yield np.arange(len(counts)), mix(sig + mix(seed + _U(1 << 40 | c))), zero, zero
+
+
+def _sign_many(h: np.ndarray, counts: np.ndarray, tag: np.ndarray, k: np.ndarray):
+    """Signatures of larger sets: of each first part, the three pairs of its three smaller parts."""
+    n, doc = k // 2 + k // 10 + 2, np.repeat(np.arange(len(counts)), counts)
+    base = np.concatenate([[0], np.cumsum(n)])
+    seed = mix(tag.astype(np.uint64) + _U(77))
+    at = mix(h + seed[doc])
+    part = 3 * (base[doc] + (at % n[doc].astype(np.uint64)).astype(np.int64)) + (mix(at) % _U(3)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    size = np.bincount(part, minlength=3 * base[-1])
+    sums = mix(_sums(mix(h[order] ^ _U(0x5851F42D4C957F2D)), size) + size.astype(np.uint64)).reshape(-1, 3)
+    size = size.reshape(-1, 3)
+    of = np.repeat(np.arange(len(counts)), n)
+    number = (np.arange(base[-1]) - base[of]).astype(np.uint64)
+    # Subsets that are empty in both sets say nothing, unless a set has so many that they could be all that agree.
+    agree = n - k // 2
+    hollow = np.bincount(of[(size == 0).sum(1) >= 2], minlength=len(counts))
+    spare = np.where(hollow >= agree, 0, agree - hollow - 1)
+    for c, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
+        w = size[:, x] + size[:, y]
+        sig = mix(mix(sums[:, x] + _U(c + 1)) + sums[:, y] + mix(seed[of] + number * _U(4) + _U(c)))
+        say = np.flatnonzero((w > 0) | (hollow >= agree)[of])
+        yield of[say], sig[say], w[say], spare[of[say]]
+
+
 def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(set, signature, own, next, tag, spare): own and next are the elements that a part's signature stands for in the
-    set's own or next band, 0 for signatures of several parts, whose parts overlap; tag is the band that is signed for;
-    sets that link share more than spare of the set's signatures for it."""
-    out: list[tuple[np.ndarray, ...]] = []
+    """(set, signature, own, next, tag, spare): own and next are the elements that a signature of two smaller parts stands
+    for in the set's own or next band, so half of the sum over the signatures that two sets share is a lower bound of
+    their intersection; tag is the band that is signed for; sets that link share more than spare signatures for it."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)]
     band = np.searchsorted(BANDS, counts, "right") - 1
     doc = np.repeat(np.arange(len(counts)), counts)
     for ahead in (0, 1):
         tag = band + ahead
-        r = BANDS[tag + 1] - 1
-        k = 2 * r // 9
-        n = np.where(k == 0, 1, np.where(k <= 3, k + 3, np.ceil(1.3 * k).astype(np.int64) + 2))
-        n[counts == 0] = 0
-        base = np.concatenate([[0], np.cumsum(n)])
-        seed = mix(tag.astype(np.uint64) + _U(77))
-        part = base[doc] + (mix(h + seed[doc]) % n[doc].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        size = np.bincount(part, minlength=base[-1])
-        sums = mix(_sums(mix(h[order] ^ _U(0x5851F42D4C957F2D)), size) + size.astype(np.uint64))
-        of = np.repeat(np.arange(len(counts)), n)
-        number = np.arange(base[-1]) - base[of]
-        empty = np.bincount(of[size == 0], minlength=len(counts))
-        # Parts that are empty in both sets say nothing, unless a set has so many that they could be all that agree.
-        single = (k[of] > 3) & ((size > 0) | (empty >= n - k)[of])
-        sig = mix(sums[single] + mix(seed[of[single]] + number[single].astype(np.uint64)))
-        w = size[single]
-        # n - k parts agree at least, of which only those that aren't empty sign.
-        spare = np.where(empty >= n - k, 0, n - k - empty - 1)
-        out.append((of[single], sig, w * (1 - ahead), w * ahead, tag[of[single]], spare[of[single]]))
-        for few in range(4):
-            sets = np.flatnonzero((k == few) & (counts > 0))
+        k = 2 * (BANDS[tag + 1] - 1) // 9
+        for few in range(5):  # the last: all larger ones
+            sets = np.flatnonzero((counts > 0) & ((k == few) if few < 4 else (k > 3)))
             if not sets.size:
                 continue
-            chosen = list(combinations(range(few + 3 if few else 1), 3 if few else 1))
-            for c, parts in enumerate(chosen):
-                s = np.zeros(len(sets), np.uint64)
-                for p in parts:
-                    s = mix(s + sums[base[sets] + p] + _U(p))
-                zero = np.zeros(len(sets), np.int64)
-                out.append((sets, mix(s + mix(seed[sets] + _U(1 << 40 | c))), zero, zero, tag[sets], zero))
+            chosen = np.zeros(len(counts), bool)
+            chosen[sets] = True
+            args = h[chosen[doc]], counts[sets], tag[sets]
+            for of, sig, w, spare in _sign_few(*args, few) if few < 4 else _sign_many(*args, k[sets]):
+                out.append((sets[of], sig, w * (1 - ahead), w * ahead, tag[sets[of]], spare))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _narrow(batches):
     for batch in batches:
         h, counts = text_sets(batch.column(1))
-        at = np.concatenate([[0], np.cumsum(counts)])
-        # A larger set that links with this one may sample half as much; this one then meets about half of its own sample.
-        shift = sample_shift(counts * 4 // 5)
-        take = h & ((_U(1) << shift.astype(np.uint64)) - _U(1)).repeat(counts) == 0
-        n0 = np.concatenate([[0], np.cumsum(take)])[at]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(set_keys(h, counts).view(np.int64)), long_array(h[take], np.diff(n0))], ["id", "n", "key", "sample"])
+        seen = h < LOOKED_AT
+        n = np.diff(np.concatenate([[0], np.cumsum(seen)])[np.concatenate([[0], np.cumsum(counts)])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(set_keys(h, counts).view(np.int64)), long_array(h[seen], n)], ["id", "n", "key", "seen"])
 
 
 def _sets(batches):
-    seen: set[int] = set()  # rows of one id meet in one task; those that repeat a text give its set once
     for batch in batches:
         h, counts = text_sets(batch.column(1))
         keys = set_keys(h, counts).view(np.int64)
-        same = np.flatnonzero(keys == batch.column(2).to_numpy(zero_copy_only=False))
-        same = np.array([i for i in same.tolist() if keys[i] not in seen and not seen.add(keys[i])], np.int64)
+        same = np.flatnonzero((keys == batch.column(2).to_numpy(zero_copy_only=False)) & (counts > 0))
         if len(same):
             arrays = long_array(h, counts)
             yield pa.RecordBatch.from_arrays([pa.array(keys[same]), pa.array(counts[same]), arrays.take(pa.array(same))], ["key", "n", "items"])
@@ -151,32 +166,53 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = materialize(pairs)
     left, right = (sets.select(F.col("key").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     checked = pairs.filter("NOT sure").join(left, "a").join(right, "b").filter(9 * F.size(F.array_intersect("a_items", "b_items")) >= 4 * (F.col("m") + F.col("n")))
-    return pairs.filter("sure").select("a", "b").unionByName(checked.select("a", "b"))
-
-
-def _blocks(key, table):
-    """Links between the members of one or two blocks of a bucket that lie in different components."""
-    keys = table.column("key").to_numpy(zero_copy_only=False)
-    comp = table.column("component").to_numpy(zero_copy_only=False)
-    block = table.column("block").to_numpy(zero_copy_only=False)
-    items = [np.asarray(x.values).view(np.uint64) for x in table.column("items").combine_chunks()]
-    i, j = key[1].as_py(), key[2].as_py()
-    found = []
-    for a in range(len(keys)):
-        for b in range(len(keys)):
-            if block[a] == i and block[b] == j and (i != j or a < b) and comp[a] != comp[b]:
-                m, n = len(items[a]), len(items[b])
-                if 5 * min(m, n) >= 4 * max(m, n) and 9 * len(np.intersect1d(items[a], items[b], True)) >= 4 * (m + n):
-                    found.append((keys[a], keys[b]))
+    return materialize(pairs.filter("sure").select("a", "b").unionByName(checked.select("a", "b")), pairs)
+
+
+def _compare(table):
+    """Links between members of different components, of blocks of members outside of a bucket's largest component with
+    one another (both is 0) or with a block of the largest component (both is 1)."""
+    sig, both, i, j, block, comp, key = (table.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "both", "i", "j", "block", "component", "key"))
+    outer = table.column("outer").to_numpy(zero_copy_only=False)
+    items = table.column("items").combine_chunks()
+    at, flat = items.offsets.to_numpy(), items.values.to_numpy(zero_copy_only=False)
+    size = np.diff(at)
+    order = np.lexsort((j, i, both, sig))
+    change = np.zeros(len(order), bool)
+    for c in (sig, both, i, j):
+        change[1:] |= np.diff(c[order]) != 0
+    found = set()
+    for of in np.split(order, np.flatnonzero(change)):
+        if both[of[0]]:
+            left, right = of[outer[of]], of[~outer[of]]
+        else:
+            left, right = of[block[of] == i[of[0]]], of[block[of] == j[of[0]]]
+        if not len(left) or not len(right):
+            continue
+        mine = np.concatenate([flat[at[x] : at[x + 1]] for x in right])
+        known, place = np.unique(mine, return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+        for a in left:
+            own = flat[at[a] : at[a + 1]]
+            p = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            mark = np.zeros(len(known), np.int64)
+            mark[p[known[p] == own]] = 1
+            shared = np.add.reduceat(mark[place], ends)
+            hit = right[(9 * shared >= 4 * (size[a] + size[right])) & (comp[right] != comp[a])]
+            found.update((min(key[a], key[b]), max(key[a], key[b])) for b in hit)
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _mixed(member: DataFrame, r: int) -> DataFrame:
-    """Of members (sig, key, component, ...) those of buckets with several components: most is the largest one with a
-    member of it, all the number of members."""
-    parts = member.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("lead"))
-    mixed = parts.groupBy("sig").agg(F.max_by(F.struct("component", "lead", "k"), F.struct("k", "component")).alias("most"), F.sum("k").alias("all")).filter("all > most.k")
-    return member.join(materialize(mixed), "sig")
+def _mixed(member: DataFrame, reached: DataFrame, r: int) -> DataFrame:
+    """Of members (sig, key, ...) those of buckets with several components, with their component and most, the largest
+    component of the bucket and a member of it, and all, the number of the bucket's members."""
+    known = materialize(member.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    parts = known.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("lead"))
+    mixed = parts.groupBy("sig").agg(F.max_by(F.struct("component", "lead", "k"), F.struct("k", "component")).alias("most"), F.sum("k").alias("all"))
+    return materialize(known.join(mixed.filter("all > most.k"), "sig"), known)
+
+
+MEMBER = ["sig", "key", "members", "tag", "spare", "times"]
 
 
 def _needed(member: DataFrame) -> DataFrame:
@@ -187,65 +223,89 @@ def _needed(member: DataFrame) -> DataFrame:
     last ones of either set, which are left out.  What many documents share says no more than what few share.
     """
     by = Window.partitionBy("key", "tag").orderBy(F.desc("members"), "sig").rowsBetween(Window.unboundedPreceding, 0)
-    return member.withColumn("place", F.sum("times").over(by)).filter("place > spare").drop("place", "most", "all")
+    return member.withColumn("place", F.sum("times").over(by)).filter("place > spare").select(MEMBER)
 
 
 def link_classes(sets: DataFrame) -> DataFrame:
     """(key, component) of the sets (key, n, items) that link with another one; component is a key.
 
     Members of a bucket of two are compared; others with that one of their buckets' least members with which they share
-    most.  In buckets that hold several components after that, the others are compared with a member of the largest.  Where few remain outside the largest, these are compared with
-    all members of other components; other buckets that still hold several are compared block by block.  So no link
-    between components is lost, and links within a component needn't be found.
+    most.  In buckets that hold several components after that, the others are compared with a member of the largest.
+    In those that still do, members outside of the largest component are compared with all members of other components,
+    block by block.  So no link between components is lost, and links within a component needn't be found.
     """
     postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, own int, ahead int, tag int, spare int")
     met = materialize(postings.groupBy("sig").agg(F.count("*").alias("members"), F.min("key").alias("lead")).filter("members > 1"))
-    shared = materialize(postings.join(met, "sig"))
-    release(sets.sparkSession)
-    least = F.greatest(F.sum("own"), F.sum("ahead")).alias("least")
+    shared = materialize(postings.join(met, "sig"), met)
+    least = F.ceil(F.greatest(F.sum("own"), F.sum("ahead")) / 2).alias("least")
     met_lead = shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(least, F.min("members").alias("members"))
     met_lead = materialize(met_lead)
     best = met_lead.groupBy("b").agg(F.max(F.struct("least", "a")).alias("x")).select("x.a", "b", "x.least")
-    checked = materialize(met_lead.filter("members = 2").select("a", "b", "least").unionByName(best).distinct())
-    links = materialize(_linked(checked, sets))
-    release(sets.sparkSession)
-    checked = checked.select("a", "b")
+    checked = materialize(met_lead.filter("members = 2").select("a", "b", "least").unionByName(best).distinct(), met_lead)
+    links = _linked(checked, sets)
     # Buckets of one band with equal members are one, which counts times.
     groups = shared.filter("members > 2").groupBy("sig", "tag", "members").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("all"))
-    one = groups.groupBy("tag", "members", "all").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "times")
-    member = materialize(shared.filter("members > 2").select("sig", "key", "members", "tag", "spare").join(materialize(one), "sig"))
-    for r in (1, 2, 3):
+    one = materialize(groups.groupBy("tag", "members", "all").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "times"))
+    member = materialize(shared.filter("members > 2").select("sig", "key", "members", "tag", "spare").join(one, "sig"), shared, one)
+    for r in (1, 2):
         reached = components(links)
-        known = materialize(member.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-        mixed = materialize(_mixed(known, r))
-        if r < 3:
-            member = mixed.select("sig", "key", "members", "tag", "spare", "times")
-            mixed = materialize(_mixed(materialize(_needed(mixed)), r))
+        mixed = _mixed(member, reached, r)
+        needed = materialize(_needed(mixed))
+        member = materialize(mixed.select(MEMBER), member, mixed)
+        mixed = _mixed(needed, reached, r)
+        drop(needed)
         if mixed.isEmpty():
+            drop(member, mixed, checked, links)
             return reached
-        if r == 3:
-            break
-        other = F.col("component") != F.col("most.component")
+        drop(reached)
         if r == 1:  # all meet a member of the bucket's largest component
-            pairs = mixed.filter(other).select(F.col("most.lead").alias("x"), F.col("key").alias("y"))
-        else:  # few that lie outside the largest component meet all others
-            few = mixed.filter(F.col("all") - F.col("most.k") <= FEW)
-            out = few.filter(other).select("sig", F.col("key").alias("x"), F.col("component").alias("c"))
-            pairs = few.select("sig", F.col("key").alias("y"), "component").join(out, "sig").filter("component <> c").select("x", "y")
-            member = mixed.filter(F.col("all") - F.col("most.k") > FEW).select("sig", "key", "members", "tag", "spare", "times")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti").withColumn("least", F.lit(0).cast("long")))
-        checked = checked.unionByName(pairs.select("a", "b"))
-        links = materialize(links.unionByName(_linked(pairs, sets)))
-        release(sets.sparkSession)
-    # What is left is compared block by block.
-    member = mixed.select("sig", "key", "component", F.col("all").alias("members"))
-    n = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = member.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    placed = placed.withColumn("ij", F.explode(meets)).select("sig", "key", "component", "block", "ij.*").join(sets.select("key", "items"), "key")
-    more = placed.groupBy("sig", "i", "j").applyInArrow(_blocks, "a long, b long")
-    return components(materialize(links.unionByName(more)))
+            pairs = mixed.filter(F.col("component") != F.col("most.component")).select(F.least("most.lead", "key").alias("a"), F.greatest("most.lead", "key").alias("b")).distinct()
+            pairs = materialize(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("least", F.lit(0).cast("long")), mixed)
+            more = _linked(pairs, sets)
+            links = materialize(links.unionByName(more), links, more, pairs)
+    more = _blocks(mixed, sets)
+    links = materialize(links.unionByName(more), links, more, member, mixed, checked)
+    reached = components(links)
+    drop(links)
+    return reached
+
+
+def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the members that lie outside of their bucket's largest component."""
+    outer = F.col("component") != F.col("most.component")
+    n = lambda k: F.ceil(k / F.lit(BLOCK)).cast("int")
+    placed = mixed.withColumns({"outer": outer, "few": n(F.col("all") - F.col("most.k")), "many": n(F.col("most.k"))})
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("outer"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(upto(F.col("few")), lambda o: F.struct(F.lit(0).alias("both"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    other = F.transform(upto(F.col("many")), lambda o: F.struct(F.lit(1).alias("both"), F.col("block").alias("i"), o.alias("j")))
+    large = F.transform(upto(F.col("few")), lambda o: F.struct(F.lit(1).alias("both"), o.alias("i"), F.col("block").alias("j")))
+    placed = placed.withColumn("x", F.explode(F.when(F.col("outer"), F.concat(own, other)).otherwise(large)))
+    placed = materialize(placed.select("sig", "key", "component", "outer", "block", "x.both", "x.i", "x.j"))
+    calls = max(1, placed.count() // CALL_ROWS)
+    joined = placed.withColumn("call", F.pmod(F.xxhash64("sig", "both", "i", "j"), F.lit(calls))).join(sets.select("key", "items"), "key")
+    return materialize(joined.groupBy("call").applyInArrow(_compare, "a long, b long").distinct(), placed)
+
+
+def _kept_sets(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """(key, n, items) of the different sets that the filter leaves; narrow: (id, n, key, seen)."""
+    kind = rows.schema["id"].dataType.simpleString()
+    held = narrow.select("key", F.explode("seen").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    alone = materialize(held.filter("key = last").groupBy("key").agg(F.count("*").alias("alone")))
+    kept = narrow.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    kept = materialize(kept.join(alone, "key", "left").filter("5 * coalesce(alone, 0) <= n").select("id", F.col("key").alias("want")), alone)
+    found = rows.join(kept.filter("id IS NOT NULL"), "id").select("id", "text", "want")
+    if not (unnamed := kept.filter("id IS NULL")).isEmpty():  # rows without an id are found by their sets
+        keyed = rows.filter("id IS NULL").mapInArrow(_narrow_texts, f"id {kind}, text string, want long")
+        found = found.unionByName(keyed.join(unnamed.select("want"), "want", "left_semi").select("id", "text", "want"))
+    sets = found.mapInArrow(_sets, "key long, n long, items array<long>")
+    return materialize(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("items").alias("items")), kept)
+
+
+def _narrow_texts(batches):
+    for batch in batches:
+        keys = set_keys(*text_sets(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], ["id", "text", "want"])
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,32 +313,29 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     by its least id.
 
     Words are lower-cased in A-Z.  Fewer than five words are one shingle; null texts and texts without words have no
-    shingles and stay alone.  Equal sets link, and rows of one id are one; a null id gets a null component unless it
-    is linked with another.  An empty table gives an empty table; other columns of docs are not read.  Sets are told
-    apart by 64-bit hashes.  Before sets are signed, those are put aside that share less than an eighth of a sample of
-    16 or more shingles with all other sets together.  A set with a link meets four fifths of its sample on average, or
-    0.44 where the other samples half as much: the chance to lose a link is then about 3e-7 (summed as Poisson).
+    shingles and stay alone.  Equal sets link.  Rows of one id with several texts tie these together.  A row without an
+    id takes part like any other and gets its component's least id, null if all of it have none.  An empty table gives
+    an empty table; other columns of docs are not read.  Elements and sets are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    narrow = materialize(rows.mapInArrow(_narrow, f"id {kind}, n long, key long, sample array<long>"))
-    classes = materialize(narrow.filter("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"), F.first("sample").alias("sample")))
-    seen = classes.select("key", F.explode("sample").alias("h"))
-    twice = materialize(seen.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h"))
-    hits = materialize(seen.join(twice, "h", "left_semi").groupBy("key").agg(F.count("*").alias("hits")))
-    some = classes.join(hits, "key", "left").filter((F.size("sample") < 16) | (8 * F.coalesce("hits", F.lit(0)) >= F.size("sample")))
-    some = materialize(some.select(F.col("key").alias("want"), "id").filter("id IS NOT NULL"))
-    sets = rows.join(some, "id").select("id", "text", "want").mapInArrow(_sets, "key long, n long, items array<long>")
-    sets = materialize(sets)
-    release(sets.sparkSession)
-    reached = materialize(link_classes(sets))
-    # Ids that occur with several texts tie these together.
-    owners = narrow.filter("n > 0").select("id", "key").distinct().join(reached.withColumnRenamed("node", "key"), "key", "left")
-    owners = materialize(owners.select("id", F.coalesce("component", "key").alias("component")))
-    named = materialize(owners.groupBy("component").agg(F.min("id").alias("component_id")))
-    by_id = owners.join(named, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
-    found = narrow.select("id", F.col("n").alias("n_shingles")).join(materialize(by_id.filter("id IS NOT NULL")), "id", "left")
-    return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    narrow = materialize(rows.mapInArrow(_narrow, f"id {kind}, n long, key long, seen array<long>"))
+    sets = _kept_sets(rows, narrow)
+    narrow = materialize(narrow.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")), narrow)
+    reached = link_classes(sets)
+    drop(sets)
+    some = narrow.filter("key IS NOT NULL")
+    several = materialize(some.filter("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b"))
+    if not several.isEmpty():
+        ties = some.join(several.select("id", "a"), "id").select("a", F.col("key").alias("b"))
+        reached = components(materialize(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ties).distinct(), reached))
+    drop(several)
+    classes = some.groupBy("key").agg(F.min("id").alias("id")).join(reached.withColumnRenamed("node", "key"), "key", "left")
+    classes = materialize(classes.select("key", "id", F.coalesce("component", "key").alias("component")), reached)
+    named = materialize(classes.groupBy("component").agg(F.min("id").alias("component_id")))
+    owners = materialize(classes.join(named, "component").select("key", "component_id"), classes, named)
+    found = narrow.join(owners, "key", "left")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
