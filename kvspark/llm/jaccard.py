@@ -28,7 +28,7 @@ WIDTH = 5
 BLOCK = 256
 #: Elements whose hash lies below this are counted over all sets: three of ten.
 LOOKED_AT = _U(2**64 * 3 // 10)
-#: Rows of one call that compares the blocks of buckets.
+#: Rows of one call that compares the blocks of buckets by their bits.
 CALL_ROWS = 4000
 
 
@@ -169,38 +169,50 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(pairs.filter("sure").select("a", "b").unionByName(checked.select("a", "b")), pairs)
 
 
+def _bits(batches):
+    """Of each set and each of its two bands, a bit for each element, at 8 bits for each element that the band allows."""
+    for batch in batches:
+        items = batch.column(1)
+        at, h = items.offsets.to_numpy(), items.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        band = np.searchsorted(BANDS, np.diff(at), "right") - 1
+        out = []
+        for k, key in enumerate(batch.column(0).to_pylist()):
+            own = mix(h[at[k] : at[k + 1]] ^ _U(0x2545F4914F6CDD1D))
+            for tag in (int(band[k]), int(band[k]) + 1):
+                flags = np.zeros(8 * (int(BANDS[tag + 1]) - 1), np.uint8)
+                flags[(own % _U(len(flags))).astype(np.int64)] = 1
+                out.append((key, tag, len(own), np.packbits(flags).tobytes()))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["key", "tag", "n", "bits"])
+
+
 def _compare(table):
-    """Links between members of different components, of blocks of members outside of a bucket's largest component with
-    one another (both is 0) or with a block of the largest component (both is 1)."""
-    sig, both, i, j, block, comp, key = (table.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "both", "i", "j", "block", "component", "key"))
-    outer = table.column("outer").to_numpy(zero_copy_only=False)
-    items = table.column("items").combine_chunks()
-    at, flat = items.offsets.to_numpy(), items.values.to_numpy(zero_copy_only=False)
-    size = np.diff(at)
-    order = np.lexsort((j, i, both, sig))
+    """Pairs of members of different components that can link by their bits: each bit in which two sets differ stands for
+    an element in which they differ, at least.  kind 0: two blocks of members outside of a bucket's largest component;
+    1: a block of these and one of the largest component; 2: a bucket of one block of each."""
+    sig, kind, i, j, block, comp, key, n, outer = (table.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "kind", "i", "j", "block", "component", "key", "n", "outer"))
+    bits = table.column("bits").combine_chunks()
+    order = np.lexsort((j, i, kind, sig))
     change = np.zeros(len(order), bool)
-    for c in (sig, both, i, j):
+    for c in (sig, kind, i, j):
         change[1:] |= np.diff(c[order]) != 0
-    found = set()
+    found = [np.zeros((0, 2), np.int64)]
     for of in np.split(order, np.flatnonzero(change)):
-        if both[of[0]]:
-            left, right = of[outer[of]], of[~outer[of]]
-        else:
+        if kind[of[0]] == 0:
             left, right = of[block[of] == i[of[0]]], of[block[of] == j[of[0]]]
+        else:
+            left, right = of[outer[of]], of[~outer[of]] if kind[of[0]] == 1 else of
         if not len(left) or not len(right):
             continue
-        mine = np.concatenate([flat[at[x] : at[x + 1]] for x in right])
-        known, place = np.unique(mine, return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+        flags = np.frombuffer(b"".join(bits[int(x)].as_py() for x in right), np.uint8).reshape(len(right), -1)
         for a in left:
-            own = flat[at[a] : at[a + 1]]
-            p = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            mark = np.zeros(len(known), np.int64)
-            mark[p[known[p] == own]] = 1
-            shared = np.add.reduceat(mark[place], ends)
-            hit = right[(9 * shared >= 4 * (size[a] + size[right])) & (comp[right] != comp[a])]
-            found.update((min(key[a], key[b]), max(key[a], key[b])) for b in hit)
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            both = n[a] + n[right]
+            most = both - 2 * ((4 * both + 8) // 9)  # elements in which two sets that link can differ
+            apart = np.bitwise_count(flags ^ np.frombuffer(bits[int(a)].as_py(), np.uint8)).sum(1, dtype=np.int64)
+            hit = right[(apart <= most) & (comp[right] != comp[a])]
+            found.append(np.stack([np.minimum(key[a], key[hit]), np.maximum(key[a], key[hit])], 1))
+    found = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 def _mixed(member: DataFrame, reached: DataFrame, r: int) -> DataFrame:
@@ -232,7 +244,7 @@ def link_classes(sets: DataFrame) -> DataFrame:
     Members of a bucket of two are compared; others with that one of their buckets' least members with which they share
     most.  In buckets that hold several components after that, the others are compared with a member of the largest.
     In those that still do, members outside of the largest component are compared with all members of other components,
-    block by block.  So no link between components is lost, and links within a component needn't be found.
+    block by block: first by bits, which put aside most pairs that can't link, then by their elements.  So no link between components is lost, and links within a component needn't be found.
     """
     postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, own int, ahead int, tag int, spare int")
     met = materialize(postings.groupBy("sig").agg(F.count("*").alias("members"), F.min("key").alias("lead")).filter("members > 1"))
@@ -263,28 +275,33 @@ def link_classes(sets: DataFrame) -> DataFrame:
             pairs = materialize(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("least", F.lit(0).cast("long")), mixed)
             more = _linked(pairs, sets)
             links = materialize(links.unionByName(more), links, more, pairs)
-    more = _blocks(mixed, sets)
-    links = materialize(links.unionByName(more), links, more, member, mixed, checked)
+    near = _near(mixed, sets)
+    near = near.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    near = materialize(near.withColumn("least", F.lit(0).cast("long")), mixed, member)
+    more = _linked(near, sets)
+    links = materialize(links.unionByName(more), links, more, near, checked)
     reached = components(links)
     drop(links)
     return reached
 
 
-def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the members that lie outside of their bucket's largest component."""
-    outer = F.col("component") != F.col("most.component")
+def _near(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that can link of members outside of their bucket's largest component with those of other components."""
     n = lambda k: F.ceil(k / F.lit(BLOCK)).cast("int")
-    placed = mixed.withColumns({"outer": outer, "few": n(F.col("all") - F.col("most.k")), "many": n(F.col("most.k"))})
+    placed = mixed.withColumns({"outer": F.col("component") != F.col("most.component"), "few": n(F.col("all") - F.col("most.k")), "many": n(F.col("most.k"))})
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("outer"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    call = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    own = F.transform(upto(F.col("few")), lambda o: F.struct(F.lit(0).alias("both"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    other = F.transform(upto(F.col("many")), lambda o: F.struct(F.lit(1).alias("both"), F.col("block").alias("i"), o.alias("j")))
-    large = F.transform(upto(F.col("few")), lambda o: F.struct(F.lit(1).alias("both"), o.alias("i"), F.col("block").alias("j")))
-    placed = placed.withColumn("x", F.explode(F.when(F.col("outer"), F.concat(own, other)).otherwise(large)))
-    placed = materialize(placed.select("sig", "key", "component", "outer", "block", "x.both", "x.i", "x.j"))
+    own = F.transform(upto(F.col("few")), lambda o: call(0, F.least("block", o), F.greatest("block", o)))
+    other = F.transform(upto(F.col("many")), lambda o: call(1, F.col("block"), o))
+    large = F.transform(upto(F.col("few")), lambda o: call(1, o, F.col("block")))
+    one = F.array(call(2, F.lit(0), F.lit(0)))
+    placed = placed.withColumn("x", F.explode(F.when((F.col("few") == 1) & (F.col("many") == 1), one).when(F.col("outer"), F.concat(own, other)).otherwise(large)))
+    placed = materialize(placed.select("sig", "key", "tag", "component", "outer", "block", "x.kind", "x.i", "x.j"))
     calls = max(1, placed.count() // CALL_ROWS)
-    joined = placed.withColumn("call", F.pmod(F.xxhash64("sig", "both", "i", "j"), F.lit(calls))).join(sets.select("key", "items"), "key")
-    return materialize(joined.groupBy("call").applyInArrow(_compare, "a long, b long").distinct(), placed)
+    bits = materialize(sets.select("key", "items").join(placed.select("key").distinct(), "key", "left_semi").mapInArrow(_bits, "key long, tag int, n long, bits binary"))
+    joined = placed.withColumn("call", F.pmod(F.xxhash64("sig", "kind", "i", "j"), F.lit(calls))).join(bits, ["key", "tag"])
+    return materialize(joined.groupBy("call").applyInArrow(_compare, "a long, b long").distinct(), placed, bits)
 
 
 def _kept_sets(rows: DataFrame, narrow: DataFrame) -> DataFrame:
