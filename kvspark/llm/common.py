@@ -215,10 +215,10 @@ def components(edges: DataFrame) -> DataFrame:
             drop(low)
             return _table(e.select(F.col("u").alias("node"), F.col("v").alias("component")), e._kvspark_table)
         # large star: each larger neighbour of u is tied to the least neighbour of u
-        large = e.select(F.col("u").alias("big"), F.col("v").alias("u")).join(low, "u").select(F.col("big").alias("u"), F.col("m").alias("v"))
+        large = e.select(F.col("u").alias("big"), F.col("v").alias("u")).join(small(low), "u").select(F.col("big").alias("u"), F.col("m").alias("v"))
         # the node itself is tied to its least neighbour as well
         large = materialize(large.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v"), e, low)
         # small star: smaller neighbours of u are tied to the least of them
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        e = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = large.join(small(least), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialize(e.filter("u <> v").distinct(), large, least)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kvspark.llm.common import components, drop, long_array, materialize, mix, shingles, slices, text_bytes, word_hashes
+from kvspark.llm.common import components, drop, long_array, materialize, mix, shingles, slices, small, text_bytes, word_hashes
 
 _U = np.uint64
 WIDTH = 5
@@ -80,7 +80,7 @@ def _sign_few(h: np.ndarray, counts: np.ndarray, tag: np.ndarray, k: int):
         sig = np.zeros(len(counts), np.uint64)
         for p in chosen:
             sig = mix(sig + sums[:, p] + _U(p))
-        yield np.arange(len(counts)), mix(sig + mix(seed + _U(1 << 40 | c))), zero, zero
+        yield np.arange(len(counts)), mix(sig + mix(seed + _U(1 << 40 | c))), zero
 
 
 def _sign_many(h: np.ndarray, counts: np.ndarray, tag: np.ndarray, k: np.ndarray):
@@ -104,14 +104,12 @@ def _sign_many(h: np.ndarray, counts: np.ndarray, tag: np.ndarray, k: np.ndarray
         w = size[:, x] + size[:, y]
         sig = mix(mix(sums[:, x] + _U(c + 1)) + sums[:, y] + mix(seed[of] + number * _U(4) + _U(c)))
         say = np.flatnonzero((w > 0) | (hollow >= agree)[of])
-        yield of[say], sig[say], w[say], spare[of[say]]
+        yield of[say], sig[say], spare[of[say]]
 
 
 def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(set, signature, own, next, tag, spare): own and next are the elements that a signature of two smaller parts stands
-    for in the set's own or next band, so half of the sum over the signatures that two sets share is a lower bound of
-    their intersection; tag is the band that is signed for; sets that link share more than spare signatures for it."""
-    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)]
+    """(set, signature, tag, spare): tag is the band that is signed for; sets that link share more than spare signatures for it."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)]
     band = np.searchsorted(BANDS, counts, "right") - 1
     doc = np.repeat(np.arange(len(counts)), counts)
     for ahead in (0, 1):
@@ -124,8 +122,8 @@ def signatures(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
             chosen = np.zeros(len(counts), bool)
             chosen[sets] = True
             args = h[chosen[doc]], counts[sets], tag[sets]
-            for of, sig, w, spare in _sign_few(*args, few) if few < 4 else _sign_many(*args, k[sets]):
-                out.append((sets[of], sig, w * (1 - ahead), w * ahead, tag[sets[of]], spare))
+            for of, sig, spare in _sign_few(*args, few) if few < 4 else _sign_many(*args, k[sets]):
+                out.append((sets[of], sig, tag[sets[of]], spare))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -155,18 +153,15 @@ def _postings(batches):
             counts = np.diff(items.offsets.to_numpy())
             doc, sig, *numbers = signatures(items.flatten().to_numpy(zero_copy_only=False).view(np.uint64), counts)
             keys = part.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys), *(pa.array(x.astype(np.int32)) for x in numbers)], ["sig", "key", "own", "ahead", "tag", "spare"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys), *(pa.array(x.astype(np.int32)) for x in numbers)], ["sig", "key", "tag", "spare"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b, least), least being a size that the intersection has at any rate, those that link."""
-    size = sets.select("key", "n")
-    pairs = pairs.join(size.withColumnsRenamed({"key": "a", "n": "m"}), "a").join(size.withColumnsRenamed({"key": "b"}), "b")
-    pairs = pairs.filter("5 * least(m, n) >= 4 * greatest(m, n)").withColumn("sure", F.expr("9 * least >= 4 * (m + n)"))
-    pairs = materialize(pairs)
+    """Of pairs (a, b) those that link."""
     left, right = (sets.select(F.col("key").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
-    checked = pairs.filter("NOT sure").join(left, "a").join(right, "b").filter(9 * F.size(F.array_intersect("a_items", "b_items")) >= 4 * (F.col("m") + F.col("n")))
-    return materialize(pairs.filter("sure").select("a", "b").unionByName(checked.select("a", "b")), pairs)
+    m, n = F.size("a_items"), F.size("b_items")
+    both = pairs.join(left, "a").join(right, "b").filter(5 * F.least(m, n) >= 4 * F.greatest(m, n))
+    return materialize(both.filter(9 * F.size(F.array_intersect("a_items", "b_items")) >= 4 * (m + n)).select("a", "b"))
 
 
 def _bits(batches):
@@ -186,17 +181,18 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["key", "tag", "n", "bits"])
 
 
-def _compare(table):
+def _compare(table, every: bool):
     """Pairs of members of different components that can link by their bits: each bit in which two sets differ stands for
     an element in which they differ, at least.  kind 0: two blocks of members outside of a bucket's largest component;
-    1: a block of these and one of the largest component; 2: a bucket of one block of each."""
+    1: a block of these and one of the largest component; 2: a bucket of one block of each.  Of a member's pairs with one
+    component, all or else the likeliest with the number of the others (more)."""
     sig, kind, i, j, block, comp, key, n, outer = (table.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "kind", "i", "j", "block", "component", "key", "n", "outer"))
     bits = table.column("bits").combine_chunks()
     order = np.lexsort((j, i, kind, sig))
     change = np.zeros(len(order), bool)
     for c in (sig, kind, i, j):
         change[1:] |= np.diff(c[order]) != 0
-    found = [np.zeros((0, 2), np.int64)]
+    found = [np.zeros((0, 3), np.int64)]
     for of in np.split(order, np.flatnonzero(change)):
         if kind[of[0]] == 0:
             left, right = of[block[of] == i[of[0]]], of[block[of] == j[of[0]]]
@@ -209,19 +205,28 @@ def _compare(table):
             both = n[a] + n[right]
             most = both - 2 * ((4 * both + 8) // 9)  # elements in which two sets that link can differ
             apart = np.bitwise_count(flags ^ np.frombuffer(bits[int(a)].as_py(), np.uint8)).sum(1, dtype=np.int64)
-            hit = right[(apart <= most) & (comp[right] != comp[a])]
-            found.append(np.stack([np.minimum(key[a], key[hit]), np.maximum(key[a], key[hit])], 1))
-    found = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+            ok = np.flatnonzero((apart <= most) & (comp[right] != comp[a]))
+            hit, more = right[ok], np.zeros(len(ok), np.int64)
+            if not every and len(ok):
+                likely = np.lexsort((key[hit], apart[ok], comp[hit]))
+                _, first, times = np.unique(comp[hit][likely], return_index=True, return_counts=True)
+                hit, more = hit[likely[first]], times - 1
+            found.append(np.stack([np.minimum(key[a], key[hit]), np.maximum(key[a], key[hit]), more], 1))
+    found = np.concatenate(found)
+    found = found[np.lexsort((-found[:, 2], found[:, 1], found[:, 0]))]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:, :2] != found[:-1, :2]).any(1)
+    return pa.table(dict(zip(("a", "b", "more"), found[new].T, strict=True)))
 
 
 def _mixed(member: DataFrame, reached: DataFrame, r: int) -> DataFrame:
     """Of members (sig, key, ...) those of buckets with several components, with their component and most, the largest
     component of the bucket and a member of it, and all, the number of the bucket's members."""
-    known = materialize(member.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    known = member.join(small(reached.withColumnRenamed("node", "key")), "key", "left").withColumn("component", F.coalesce("component", "key"))
     parts = known.groupBy("sig", "component").agg(F.count("*").alias("k"), F.min_by("key", F.xxhash64("key", F.lit(r))).alias("lead"))
     mixed = parts.groupBy("sig").agg(F.max_by(F.struct("component", "lead", "k"), F.struct("k", "component")).alias("most"), F.sum("k").alias("all"))
-    return materialize(known.join(mixed.filter("all > most.k"), "sig"), known)
+    mixed = materialize(mixed.filter("all > most.k"))
+    return materialize(known.join(small(mixed), "sig"), mixed)
 
 
 MEMBER = ["sig", "key", "members", "tag", "spare", "times"]
@@ -244,49 +249,62 @@ def link_classes(sets: DataFrame) -> DataFrame:
     Members of a bucket of two are compared; others with that one of their buckets' least members with which they share
     most.  In buckets that hold several components after that, the others are compared with a member of the largest.
     In those that still do, members outside of the largest component are compared with all members of other components,
-    block by block: first by bits, which put aside most pairs that can't link, then by their elements.  So no link between components is lost, and links within a component needn't be found.
+    block by block, by bits that put aside most pairs that can't link; what is left is compared by elements, a member with
+    the likeliest of each component first.  So no link between components is lost, and links within a component needn't be found.
     """
-    postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, own int, ahead int, tag int, spare int")
+    postings = sets.select("key", "items").mapInArrow(_postings, "sig long, key long, tag int, spare int")
     met = materialize(postings.groupBy("sig").agg(F.count("*").alias("members"), F.min("key").alias("lead")).filter("members > 1"))
-    shared = materialize(postings.join(met, "sig"), met)
-    least = F.ceil(F.greatest(F.sum("own"), F.sum("ahead")) / 2).alias("least")
-    met_lead = shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(least, F.min("members").alias("members"))
+    shared = materialize(postings.join(small(met), "sig"), met)
+    met_lead = shared.filter("key <> lead").groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("times"), F.min("members").alias("members"))
     met_lead = materialize(met_lead)
-    best = met_lead.groupBy("b").agg(F.max(F.struct("least", "a")).alias("x")).select("x.a", "b", "x.least")
-    checked = materialize(met_lead.filter("members = 2").select("a", "b", "least").unionByName(best).distinct(), met_lead)
+    best = met_lead.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    checked = materialize(met_lead.filter("members = 2").select("a", "b").unionByName(best).distinct(), met_lead)
     links = _linked(checked, sets)
     # Buckets of one band with equal members are one, which counts times.
     groups = shared.filter("members > 2").groupBy("sig", "tag", "members").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("all"))
     one = materialize(groups.groupBy("tag", "members", "all").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "times"))
-    member = materialize(shared.filter("members > 2").select("sig", "key", "members", "tag", "spare").join(one, "sig"), shared, one)
-    for r in (1, 2):
-        reached = components(links)
-        mixed = _mixed(member, reached, r)
-        needed = materialize(_needed(mixed))
-        member = materialize(mixed.select(MEMBER), member, mixed)
-        mixed = _mixed(needed, reached, r)
-        drop(needed)
-        if mixed.isEmpty():
-            drop(member, mixed, checked, links)
-            return reached
-        drop(reached)
-        if r == 1:  # all meet a member of the bucket's largest component
-            pairs = mixed.filter(F.col("component") != F.col("most.component")).select(F.least("most.lead", "key").alias("a"), F.greatest("most.lead", "key").alias("b")).distinct()
-            pairs = materialize(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("least", F.lit(0).cast("long")), mixed)
-            more = _linked(pairs, sets)
-            links = materialize(links.unionByName(more), links, more, pairs)
-    near = _near(mixed, sets)
-    near = near.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    near = materialize(near.withColumn("least", F.lit(0).cast("long")), mixed, member)
-    more = _linked(near, sets)
-    links = materialize(links.unionByName(more), links, more, near, checked)
+    member = materialize(shared.filter("members > 2").select("sig", "key", "members", "tag", "spare").join(small(one), "sig"), shared, one)
+    reached = components(links)
+    mixed = _mixed(member, reached, 1)
+    member = materialize(mixed.select(MEMBER), member, reached)
+    # All meet a member of their buckets' largest components.
+    pairs = mixed.filter(F.col("component") != F.col("most.component")).select(F.least("most.lead", "key").alias("a"), F.greatest("most.lead", "key").alias("b")).distinct()
+    links, checked = _add(pairs, links, checked, sets)
+    drop(mixed)
+    reached = components(links)
+    mixed = _mixed(member, reached, 2)
+    needed = materialize(_needed(mixed), member, mixed)
+    mixed = _mixed(needed, reached, 2)
+    # Likely pairs of a member and a component first; the others only where the likeliest is no link.
+    near = _near(mixed, sets, False)
+    drop(mixed)
+    links, checked = _add(near.select("a", "b"), links, checked, sets)
+    drop(reached)
     reached = components(links)
-    drop(links)
+    now = small(reached.withColumnRenamed("node", "key"))
+    of = lambda c: near.filter("more > 0").select("a", "b", F.col(c).alias("key")).join(now, "key", "left").select("a", "b", F.coalesce("component", "key").alias(f"in_{c}"))
+    still = of("a").join(of("b"), ["a", "b"]).filter("in_a <> in_b").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    still = materialize(still, near)
+    if not still.isEmpty():
+        again = materialize(needed.join(small(still), "key", "left_semi").select("sig").distinct())
+        mixed = _mixed(needed.join(small(again), "sig", "left_semi"), reached, 3)
+        near = _near(mixed, sets, True)
+        links, checked = _add(near.select("a", "b"), links, checked, sets)
+        drop(reached, again, mixed, near)
+        reached = components(links)
+    drop(needed, still, links, checked)
     return reached
 
 
-def _near(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can link of members outside of their bucket's largest component with those of other components."""
+def _add(pairs: DataFrame, links: DataFrame, checked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and checked pairs with those of the pairs (a, b), a the less, that haven't been compared before."""
+    new = materialize(pairs.join(small(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), ["a", "b"], "left_anti"))
+    more = _linked(new, sets)
+    return materialize(links.unionByName(more), links, more), materialize(checked.unionByName(new), checked, new)
+
+
+def _near(mixed: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b, more) that can link of members outside of their bucket's largest component with those of other components."""
     n = lambda k: F.ceil(k / F.lit(BLOCK)).cast("int")
     placed = mixed.withColumns({"outer": F.col("component") != F.col("most.component"), "few": n(F.col("all") - F.col("most.k")), "many": n(F.col("most.k"))})
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("outer"), F.col("few")).otherwise(F.col("many"))).cast("int"))
@@ -299,9 +317,11 @@ def _near(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     placed = placed.withColumn("x", F.explode(F.when((F.col("few") == 1) & (F.col("many") == 1), one).when(F.col("outer"), F.concat(own, other)).otherwise(large)))
     placed = materialize(placed.select("sig", "key", "tag", "component", "outer", "block", "x.kind", "x.i", "x.j"))
     calls = max(1, placed.count() // CALL_ROWS)
-    bits = materialize(sets.select("key", "items").join(placed.select("key").distinct(), "key", "left_semi").mapInArrow(_bits, "key long, tag int, n long, bits binary"))
+    keys = materialize(placed.select("key").distinct())
+    bits = materialize(sets.select("key", "items").join(small(keys), "key", "left_semi").mapInArrow(_bits, "key long, tag int, n long, bits binary"), keys)
     joined = placed.withColumn("call", F.pmod(F.xxhash64("sig", "kind", "i", "j"), F.lit(calls))).join(bits, ["key", "tag"])
-    return materialize(joined.groupBy("call").applyInArrow(_compare, "a long, b long").distinct(), placed, bits)
+    found = joined.groupBy("call").applyInArrow(lambda table: _compare(table, every), "a long, b long, more long")
+    return materialize(found.groupBy("a", "b").agg(F.max("more").alias("more")), placed, bits)
 
 
 def _kept_sets(rows: DataFrame, narrow: DataFrame) -> DataFrame:
@@ -310,8 +330,8 @@ def _kept_sets(rows: DataFrame, narrow: DataFrame) -> DataFrame:
     held = narrow.select("key", F.explode("seen").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last"))
     alone = materialize(held.filter("key = last").groupBy("key").agg(F.count("*").alias("alone")))
     kept = narrow.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    kept = materialize(kept.join(alone, "key", "left").filter("5 * coalesce(alone, 0) <= n").select("id", F.col("key").alias("want")), alone)
-    found = rows.join(kept.filter("id IS NOT NULL"), "id").select("id", "text", "want")
+    kept = materialize(kept.join(small(alone), "key", "left").filter("5 * coalesce(alone, 0) <= n").select("id", F.col("key").alias("want")), alone)
+    found = rows.join(small(kept.filter("id IS NOT NULL")), "id").select("id", "text", "want")
     if not (unnamed := kept.filter("id IS NULL")).isEmpty():  # rows without an id are found by their sets
         keyed = rows.filter("id IS NULL").mapInArrow(_narrow_texts, f"id {kind}, text string, want long")
         found = found.unionByName(keyed.join(unnamed.select("want"), "want", "left_semi").select("id", "text", "want"))
@@ -347,11 +367,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         ties = some.join(several.select("id", "a"), "id").select("a", F.col("key").alias("b"))
         reached = components(materialize(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ties).distinct(), reached))
     drop(several)
-    classes = some.groupBy("key").agg(F.min("id").alias("id")).join(reached.withColumnRenamed("node", "key"), "key", "left")
+    classes = some.groupBy("key").agg(F.min("id").alias("id")).join(small(reached.withColumnRenamed("node", "key")), "key", "left")
     classes = materialize(classes.select("key", "id", F.coalesce("component", "key").alias("component")), reached)
     named = materialize(classes.groupBy("component").agg(F.min("id").alias("component_id")))
-    owners = materialize(classes.join(named, "component").select("key", "component_id"), classes, named)
-    found = narrow.join(owners, "key", "left")
+    owners = materialize(classes.join(small(named), "component").select("key", "component_id"), classes, named)
+    found = narrow.join(small(owners), "key", "left")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
