@@ -3,8 +3,8 @@
 Items are partitioned by the power of two that their number of shingles reaches, u at most; documents are read in
 windows of 2u shingles every u, so an item lies in a window at most twice and a half its size wherever it stands, and
 a long document hides no short item.  A window and an item that share a least hash under one of the permutations are
-candidates; at containment 0.8 in a window of 2u shingles their Jaccard similarity is 1/5 or more and 64 permutations
-miss them with a chance under 1e-6.  Candidates are verified on the whole document's set of shingles.
+candidates; at containment 0.8 in a window of 2u shingles their Jaccard similarity is 0.19 or more and 64 permutations
+miss them with a chance of 1.4e-6 at most.  Candidates are verified on the whole document's set of shingles.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from kvspark.llm.common import _U, mix, ordered_shingles, shingles, slices, text
 
 PERMUTATIONS = 64
 CONTAINED = 0.8
-#: Bytes of item text that one broadcast holds; more items are searched in further passes over the documents.
-MOST_ITEM_BYTES = 32 << 20
+#: Bounds of the items of one broadcast: bytes of text, and items, each of which takes 12 bytes for every permutation.
+#: More items are searched in further passes over the documents.
+MOST_ITEM_BYTES, MOST_ITEMS = 16 << 20, 20_000
 SEEDS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
@@ -32,17 +33,17 @@ class Items:
         self.ids, self.h = ids, h
         self.at = np.searchsorted(row, np.arange(len(texts) + 1))
         size = np.diff(self.at)
-        self.by_size: dict[int, list[dict[int, list[int]]]] = {}
-        wanted = []
-        for k in np.flatnonzero(size):
-            u = 1 << max(2, int(size[k] - 1).bit_length())
-            tables = self.by_size.setdefault(u, [{} for _ in SEEDS])
-            own = h[self.at[k] : self.at[k + 1]]
-            for table, seed in zip(tables, SEEDS, strict=True):
-                least = own[np.argmin(mix(own ^ seed))]
-                table.setdefault(int(least), []).append(int(k))
-                wanted.append(least)
-        self.wanted = np.unique(np.array(wanted, np.uint64))
+        u = 1 << np.maximum(2, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wanted = [np.zeros(0, np.uint64)]
+        for size_class in np.unique(u[size > 0]).tolist():
+            of = np.flatnonzero((u == size_class) & (size > 0))
+            least = np.stack([own[np.argmin(mix(own[None, :] ^ SEEDS[:, None]), 1)] for own in (h[self.at[k] : self.at[k + 1]] for k in of)])
+            wanted.append(least.ravel())
+            codes = mix(least ^ SEEDS).ravel()  # a least hash and its permutation in one
+            order = np.argsort(codes)
+            self.by_size[size_class] = codes[order], np.repeat(of, len(SEEDS))[order].astype(np.int32)
+        self.wanted = np.unique(np.concatenate(wanted))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.wanted & _U((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -50,12 +51,13 @@ class Items:
         """Items that share a least hash with a window of a document's shingles in their order."""
         found: set[int] = set()
         hit = np.flatnonzero(np.isin(ordered, self.wanted))
-        for u, tables in self.by_size.items():
+        for u, (codes, of) in self.by_size.items():
             # Windows without any of the items' least shingles share none of their least hashes.
             for w in np.unique(np.concatenate([hit // u, np.maximum(hit // u - 1, 0)])):
-                window = ordered[w * u : w * u + 2 * u]
-                for table, seed in zip(tables, SEEDS, strict=True):
-                    found.update(table.get(int(window[np.argmin(mix(window ^ seed))]), ()))
+                mixed = np.array([(mix(ordered[w * u : w * u + 2 * u] ^ seed)).min() for seed in SEEDS])
+                low, high = np.searchsorted(codes, mixed), np.searchsorted(codes, mixed, "right")
+                for a, b in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                    found.update(of[a:b].tolist())
         return found
 
     def contained(self, ordered: np.ndarray) -> list[tuple[int, int]]:
@@ -75,26 +77,23 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     An item is listed if the row's set of 5-word shingles holds 4/5 of the item's.  Words are lower-cased in A-Z; fewer
     than five words are one shingle.  Null and empty texts hold nothing and null or empty items are held by nothing;
     repeated items are listed each; an empty table on either side gives no items.  Items are read by the driver in
-    parts of MOST_ITEM_BYTES of text, each of which is broadcast and searched for.
+    parts of MOST_ITEM_BYTES of text and MOST_ITEMS, one at a time, each of which is broadcast and searched for.
+    other_cols may name text_col, which then stays.
     """
     known = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
     kind = known.schema["item"].dataType
-    parts: list[tuple[list, list]] = [([], [])]
-    size = 0
+    others = [c for c in other_cols if c != text_col]
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *others)
+    ids, texts, size, more = [], [], 0, False
     for r in known.toLocalIterator():
-        if size > MOST_ITEM_BYTES:
-            parts.append(([], []))
-            size = 0
-        parts[-1][0].append(r.item)
-        parts[-1][1].append(r.text)
+        if ids and (size + len(r.text) > MOST_ITEM_BYTES or len(ids) >= MOST_ITEMS):
+            rows, more = _search(rows, Items(ids, texts), kind, more), True
+            ids, texts, size = [], [], 0
+        ids.append(r.item)
+        texts.append(r.text)
         size += len(r.text)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *other_cols)
-    found = None
-    for ids, texts in parts:
-        part = _search(rows, Items(ids, texts), kind, found is not None)
-        found = part if found is None else found
-        rows = part
-    return rows.drop("__text").withColumnRenamed("__id", id_col).withColumn("n_items", F.size("items").cast("long"))
+    rows = _search(rows, Items(ids, texts), kind, more).withColumnRenamed("__id", id_col).withColumn("n_items", F.size("items").cast("long"))
+    return rows.withColumnRenamed("__text", text_col) if text_col in other_cols else rows.drop("__text")
 
 
 def _search(rows: DataFrame, items: Items, kind: T.DataType, more: bool) -> DataFrame:

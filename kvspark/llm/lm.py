@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvspark.llm.common import materialize, mix, slices, text_bytes, word_hashes
+from kvspark.llm.common import drop, materialize, mix, slices, text_bytes, word_hashes
 
 _U = np.uint64
 END, BEGIN = _U(0xE0D0E0D0E0D0E0D1), _U(0xB0B0B0B0B0B0B0B1)
@@ -20,8 +20,10 @@ FIRST, FURTHER = 8, 3
 SEGMENT = 1 << 20
 #: Bytes of bigram segments that one broadcast may hold; a larger filter is read in several passes over the texts.
 MOST_FILTER = 96 << 20
-#: Words whose exact counts are broadcast, the most frequent ones; those of all others are joined.
+#: Words whose counts, exact and in a filter, are broadcast: the most frequent ones.  Those of all others are joined.
 MOST_WORDS = 1_000_000
+#: Levels that counts of 64 bits can have.
+LEVELS = 112
 #: Share of the bigram estimate in a probability.
 WEIGHT = 0.6
 
@@ -143,9 +145,11 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     """(id, train_tokens, n_tokens, n_known, base_score, score) of each row, learning from the rows where train holds.
 
     score is the sum over a text's tokens of log10(0.6 * min(1, c(uv) / c(u)) + 0.4 * (c(v) + 0.1) / (N + 0.1 (V + 1)))
-    with the counts that the filter gives for words and for bigrams, those seen once too; base_score has the exact counts
-    of words alone.  Texts are read whole; null and empty ones are an end alone; without training rows every count is
-    0; an empty table gives an empty table; repeated rows and null ids stay rows of their own.
+    with quantised counts of words and of bigrams, those seen once too; base_score has the exact counts of words alone.
+    Bigrams lie in a filter that is made in segments, of which a pass over the texts reads as many as a broadcast may
+    hold.  Words lie in a filter of the MOST_WORDS most frequent ones; tokens of rarer words, and the bigrams that they
+    are in, are joined with these words' counts.  Texts are read whole; null and empty ones are an end alone; without
+    training rows every count is 0; an empty table gives an empty table; repeated rows and null ids stay rows of their own.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
@@ -153,55 +157,83 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     words = table.filter("order = 1").select("h", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = words.filter(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # The least count at which the words are few enough to send around.
-    steps = words.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("low")).orderBy("step").collect()
-    least, room = 1, MOST_WORDS
+    # The least count at which the words are few enough to send around; above every count if they never are.
+    steps = words.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy("step").collect()
+    least, room = (steps[-1].high + 1 if steps else 0), MOST_WORDS
     for s in reversed(steps):
         room -= s.k
         if room < 0:
             break
         least = s.low
-    else:
-        least = 0
     hot = words.filter(F.col("n") >= least).toArrow()
     hot_h = np.array(hot.column("h").to_numpy()).view(np.uint64)
     order = np.argsort(hot_h)
     hot_h, hot_n = hot_h[order], np.array(hot.column("n").to_numpy())[order]
     z = total + 0.1 * (distinct + 1)
 
-    segments, bits, made = build(words)
+    segments, bits, made = build(words.filter(F.col("n") >= least))
     one = Filter(segments, bits, {r.segment: np.frombuffer(r.data, np.uint8) for r in made.collect()})
     segments, bits, made = build(table.filter("order = 2").select("h", "n"))
     made = materialize(made)
+    rare = materialize(words.filter(F.col("n") < least), table)
     per_pass = max(1, MOST_FILTER // max(1, bits // 8))
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    if segments > per_pass:  # rows keep their numbers from pass to pass
+        numbered = materialize(numbered)
     results = None
     for begin in range(0, segments, per_pass):
         part = made.filter(F.col("segment").between(begin, begin + per_pass - 1)).collect()
         two = Filter(segments, bits, {r.segment: np.frombuffer(r.data, np.uint8) for r in part} | {})
         for s in range(begin, min(begin + per_pass, segments)):
             two.held.setdefault(s, np.zeros(bits // 8, np.uint8))
-        shared = spark.sparkContext.broadcast((hot_h, hot_n, one, two))
-        found = _pass(rows, shared, z, int(end), begin == 0)
-        results = found if results is None else results.unionByName(found)
-    results = materialize(results)
-    if segments > per_pass:  # the texts' rows keep their numbers in every pass over the same partitions
-        results = results.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"), F.flatten(F.collect_list("tail")).alias("tail"), F.flatten(F.collect_list("times")).alias("times"))
-        results = materialize(results)
+        found = materialize(_pass(numbered, spark.sparkContext.broadcast((hot_h, hot_n, one, two)), z, int(end), begin == 0))
+        results = found if results is None else materialize(results.unionByName(found), results, found)
+    drop(made, *([numbered] if segments > per_pass else []))
+    if segments > per_pass:
+        sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("tail", "times", "first", "second", "level", "again")]
+        results = materialize(results.groupBy("row").agg(F.max("id").alias("id"), *sums, *lists), results)
+    # Words that aren't sent around.
     tail = results.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("h"), F.col("x.times").alias("times"))
-    rare = words.filter(F.col("n") < least) if least else words.limit(0)
     tail = tail.join(rare, "h", "left").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / z)).alias("more_base"))
-    out = results.drop("tail", "times").join(tail, "row", "left")
+    pairs = results.select("row", F.explode(F.arrays_zip("first", "second", "level", "again")).alias("x")).select("row", "x.*")
+    out = results.drop("tail", "times", "first", "second", "level", "again").join(tail, "row", "left").join(_rare_pairs(pairs, rare, z, max(int(end), 1)), "row", "left")
     return out.select(
         F.col("id").alias(id_col), F.lit(int(total)).cast("long").alias("train_tokens"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
+def _rare_pairs(pairs: DataFrame, rare: DataFrame, z: float, end: int) -> DataFrame:
+    """(row, more): the scores of the bigrams (row, first, second, level, again) of which a word isn't sent around.
+
+    The level of a frequent one of the two comes with it; those of rare words are joined.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BASE)) + 1e-9) + 1
+    known = rare.select("h", level.alias("at"))
+    middle = lambda at: F.element_at(F.array(*(F.lit(float(x)) for x in value(np.arange(LEVELS)))), (at + 1).cast("int"))
+    a, b = known.withColumnsRenamed({"h": "first", "at": "of_first"}), known.withColumnsRenamed({"h": "second", "at": "of_second"})
+    both = pairs.select("row", F.col("first.h").alias("first"), F.col("second.h").alias("second"), F.col("first.at").alias("held_first"), F.col("second.at").alias("held_second"), "level", "again")
+    both = both.join(a, "first", "left").join(b, "second", "left")
+    context = F.when(F.col("first") == int(BEGIN.view(np.int64)), float(end)).otherwise(middle(F.coalesce("held_first", "of_first", F.lit(0))))
+    share = F.least(F.lit(1.0), middle(F.col("level")) / F.greatest(context, F.lit(1.0)))
+    uni = (middle(F.coalesce("held_second", "of_second", F.lit(0))) + 0.1) / z
+    return both.groupBy("row").agg(F.sum(F.col("again") * F.log10(WEIGHT * share + (1 - WEIGHT) * uni)).alias("more"))
+
+
 def _pass(rows: DataFrame, shared, z: float, end: int, with_base: bool) -> DataFrame:
-    """What one part of the bigram filter, and in the first pass the word counts, say of each row."""
+    """What one part of the bigram filter, and in the first pass the word counts, say of each row (row, id, text).
+
+    tail has the words that aren't sent around and their times; first, second, level and again the bigrams that have one.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, tail array<long>, times array<long>"
+    word = "array<struct<h:long,at:int>>"
+    schema = f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, tail array<long>, times array<long>, first {word}, second {word}, level array<int>, again array<long>"
+
+    def words(h, at, held):
+        """Hashes with the levels of those that are sent around."""
+        return pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(at.astype(np.int32), mask=~held)], ["h", "at"])
 
     def run(batches):
         hot_h, hot_n, one, two = shared.value
@@ -211,34 +243,47 @@ def _pass(rows: DataFrame, shared, z: float, end: int, with_base: bool) -> DataF
                 m = b - a
                 token, before, row = sequence(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 word, of = np.unique(token, return_inverse=True)
-                count = value(one.look_up(word)[0])
+                at = np.minimum(np.searchsorted(hot_h, word), max(len(hot_h) - 1, 0))
+                is_hot = hot_h[at] == word if len(hot_h) else np.zeros(len(word), bool)
+                exact = np.where(is_hot, hot_n[at] if len(hot_h) else 0, 0)
+                word_level = np.where(is_hot, one.look_up(word)[0], 0)
+                count = value(word_level)
                 uni = (count + 0.1) / z
                 pair, first, back = np.unique(bigram(before, token), return_index=True, return_inverse=True)
                 level, here = two.look_up(pair)
                 prior = before[first]
-                context = np.where(prior == BEGIN, float(max(end, 1)), count[np.minimum(np.searchsorted(word, prior), len(word) - 1)])
+                starts = prior == BEGIN
+                prior_at = np.minimum(np.searchsorted(word, prior), len(word) - 1)
+                context = np.where(starts, float(max(end, 1)), count[prior_at])
+                hot_pair = is_hot[of[first]] & (starts | is_hot[prior_at])
                 share = np.minimum(1.0, value(level) / np.maximum(context, 1.0))
-                p = np.where(here, np.log10(WEIGHT * share + (1 - WEIGHT) * uni[of[first]]), 0.0)
+                p = np.where(here & hot_pair, np.log10(WEIGHT * share + (1 - WEIGHT) * uni[of[first]]), 0.0)
                 total = np.bincount(row, p[back], m)
-                base, known = np.zeros(m), np.zeros(m, np.int64)
+                base, known, n_tokens = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
                 offs, tail, times = np.zeros(m + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if with_base:
-                    at = np.minimum(np.searchsorted(hot_h, word), max(len(hot_h) - 1, 0))
-                    is_hot = hot_h[at] == word if len(hot_h) else np.zeros(len(word), bool)
-                    exact = np.where(is_hot, hot_n[at] if len(hot_h) else 0, 0)
+                    n_tokens = np.bincount(row, minlength=m)
                     base = np.bincount(row, np.where(is_hot, np.log10((exact + 0.1) / z), 0.0)[of], m)
                     known = np.bincount(row[is_hot[of]], minlength=m)
                     cold = np.flatnonzero(~is_hot[of])
                     keys, times = np.unique(row[cold].astype(np.int64) * len(word) + of[cold], return_counts=True)
                     tail = word[keys % len(word)].view(np.int64)
                     offs = np.searchsorted(keys // len(word), np.arange(m + 1)).astype(np.int32)
+                cold = np.flatnonzero((here & ~hot_pair)[back])
+                keys, again = np.unique(row[cold].astype(np.int64) * len(pair) + back[cold], return_counts=True)
+                k = keys % max(len(pair), 1)
+                second_at = of[first][k]
+                firsts = words(prior[k], np.where(starts[k], levels(np.full(len(k), max(end, 1))), word_level[prior_at[k]]), starts[k] | is_hot[prior_at[k]])
+                seconds = words(word[second_at], word_level[second_at], is_hot[second_at])
+                more = np.searchsorted(keys // max(len(pair), 1), np.arange(m + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(offs), pa.array(x)) for x in (tail, times)]
+                lists += [pa.ListArray.from_arrays(pa.array(more), x) for x in (firsts, seconds, pa.array(level[k].astype(np.int32)), pa.array(again.astype(np.int64)))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(np.bincount(row, minlength=m)), pa.array(known), pa.array(base), pa.array(total), *lists],
-                    ["row", "id", "n_tokens", "n_known", "base_score", "score", "tail", "times"],
+                    [batch.column(0).slice(a, m), batch.column(1).slice(a, m), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(total), *lists],
+                    ["row", "id", "n_tokens", "n_known", "base_score", "score", "tail", "times", "first", "second", "level", "again"],
                 )
 
-    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op8_lm(spark, sf_dir: str) -> DataFrame:

@@ -31,57 +31,78 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return t.select("source", "source_size", "weight", F.least("most", F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def rank_key(key: Column, size: Column, mean: Column, seed: int) -> Column:
-    """Log of the random odds over the document's share of the inclusion odds.
+def inclusion(sizes: DataFrame) -> DataFrame:
+    """sizes: (source, size, docs, rest), rest being the words that a source still lacks. Gives (source, slope, sure, missing).
 
-    Inclusion odds are the source's odds f/(1-f) times sqrt(size / mean size), held within 1/2 and 2; the first
-    factor is the same for a whole source and leaves its order as it is.
+    A document's inclusion probability is min(1, slope * sqrt(size)), with the slope at which a source's expected words
+    are what it lacks: sum(min(1, slope * sqrt(size)) * size) = rest.  Documents of more than sure words have
+    probability 1; missing words are left for the others.  Rows are one for each source and size, so the window is no
+    longer than the largest document has words.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    tilt = F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.sqrt(size / F.greatest(mean, F.lit(1e-9)))))
-    return F.log(u / (1 - u)) - F.log(tilt)
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("source").orderBy("size").rowsBetween(1, Window.unboundedFollowing)
+    words = F.col("size") * F.col("docs")
+    t = sizes.filter("size > 0 AND rest > 0")
+    t = t.withColumn("missing", F.col("rest") - F.coalesce(F.sum(words).over(above), F.lit(0)))
+    t = t.withColumn("slope", F.col("missing") / F.sum(words * F.sqrt("size")).over(up))
+    # The largest size at which the others need no certain document more.
+    t = t.filter((F.col("missing") >= 0) & (F.col("slope") * F.sqrt("size") <= 1 + 1e-12))
+    return t.groupBy("source").agg(F.max_by(F.struct("slope", F.col("size").alias("sure"), "missing"), "size").alias("x")).select("source", "x.*")
+
+
+def rank_key(hash64: Column, chance: Column) -> Column:
+    """Log of the random odds over the inclusion odds: a document with probability p has a negative one with chance p."""
+    u = (F.pmod(hash64, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.log(u / (1 - u)) - F.log(chance / (1 - chance))
 
 
 def pareto_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for each row.
 
     Every document of a source is taken floor(target / source_size) whole times; the words that the target still lacks
-    are a Pareto order sample: documents in the order of rank_key until the words are reached, of which the last one
-    gives only as many words as are missing, so a source's words meet its rounded target.  Random numbers are hashes
-    of the id, so reruns agree.  Null text has size 0 and is never taken; a null source is a source of its own; null
-    ids share a random number; repeated rows are rows like others; an empty table gives an empty table.  Other
-    columns of docs are not read.
+    are a Pareto order sample with inclusion probabilities that grow with the square root of a document's size: those
+    with probability 1 are taken first, then documents in the order of their random odds over their inclusion odds
+    until the words are reached.  The last one gives only as many words as are missing, so a source's words meet its
+    rounded target.  Random numbers are hashes of id and text, so reruns agree.  Null text has size 0 and is never
+    taken; a null source is a source of its own; repeated rows are rows like others, with one random number; an
+    empty table gives an empty table.  Other columns of docs are not read.  Targets are found in one task, with a
+    row for each source, so sources have to be few (millions at most), documents needn't.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
     rows = materialize(rows)
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    t = targets(per.select("source", "source_size"), weights, cap).withColumnRenamed("source", "s")
-    t = t.join(per.withColumnsRenamed({"source_size": "z", "source": "p"}), F.col("s").eqNullSafe(F.col("p"))).drop("p", "z")
+    sizes = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("docs")))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
+    t = targets(per, weights, cap)
     base = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     t = t.withColumn("base", base).withColumn("rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("base") * F.col("source_size")))
-    t = materialize(t.withColumn("mean", F.col("source_size") / F.col("n")))
-    bound = small(t)
-    keyed = rows.join(bound, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    keyed = keyed.withColumn("key", rank_key(F.col("id"), F.col("size"), F.col("mean"), seed))
+    t = materialize(t.withColumnRenamed("source", "s"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    odds = inclusion(sizes.join(small(t.select("s", "rest")), same("source", "s")).drop("s"))
+    t = materialize(t.join(odds.withColumnRenamed("source", "o"), same("s", "o"), "left").drop("o"), t, sizes)
+    keyed = rows.join(small(t.drop("weight")), same("source", "s"), "left").drop("s")
+    chance = F.least(F.col("slope") * F.sqrt("size"), F.lit(1 - 1e-9))
+    # Rank codes: -1 is certain, null is never taken.
     top = 256**DIGITS
-    keyed = keyed.withColumn("code", F.least(F.lit(top - 1), F.floor(F.lit(top) / (1 + F.exp(-F.col("key"))))).cast("long"))
+    code = F.least(F.lit(top - 1), F.floor(F.lit(top) / (1 + F.exp(-rank_key(F.col("h"), chance))))).cast("long")
+    keyed = keyed.withColumn("key", rank_key(F.col("h"), chance))
+    keyed = keyed.withColumn("code", F.when(F.col("size") > F.col("sure"), F.lit(-1).cast("long")).when(F.col("size") > 0, code))
     # The code at which a source's missing words are reached, a digit at a time.
-    cut = t.select("s", F.lit(0).cast("long").alias("cut"), F.col("rest").alias("left"))
+    cut = t.filter("rest > 0").select("s", F.lit(0).cast("long").alias("cut"), F.col("missing").alias("left"))
     for digit in range(DIGITS - 1, -1, -1):
         unit = 256**digit
-        near = keyed.select("source", "size", F.floor(F.col("code") / unit).alias("d")).join(small(materialize(cut)), F.col("source").eqNullSafe(F.col("s")))
+        near = keyed.filter("code >= 0").select("source", "size", F.floor(F.col("code") / unit).alias("d")).join(small(materialize(cut)), same("source", "s"))
         near = near.filter(F.floor(F.col("d") / 256) == F.col("cut")).groupBy("s", "cut", "left", "d").agg(F.sum("size").alias("words"))
         by = Window.partitionBy("s").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
         near = near.withColumn("sum", F.sum("words").over(by)).filter(F.col("sum") > F.col("left"))
         cut = near.groupBy("s", "left").agg(F.min_by(F.struct("d", (F.col("left") - F.col("sum") + F.col("words")).alias("l")), "d").alias("x")).select("s", F.col("x.d").alias("cut"), F.col("x.l").alias("left"))
-    cut = small(materialize(cut.withColumnsRenamed({"s": "c", "left": "missing"})))
-    keyed = keyed.join(cut, F.col("source").eqNullSafe(F.col("c")), "left")
+    cut = small(materialize(cut.withColumnsRenamed({"s": "c", "left": "at_cut"})))
+    keyed = keyed.join(cut, same("source", "c"), "left")
     # A source without a cut lacks all its words or has none.
-    whole = F.when(F.col("cut").isNull() | (F.col("code") < F.col("cut")), F.when(F.col("rest") > 0, F.col("size")).otherwise(0)).otherwise(0)
+    before = (F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("code") < F.col("cut")))
     line = Window.partitionBy("source").orderBy("key", "id", "size", "edge").rowsBetween(Window.unboundedPreceding, -1)
     edge = keyed.filter(F.col("code") == F.col("cut")).withColumn("edge", F.monotonically_increasing_id())
-    edge = edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("missing") - F.coalesce(F.sum("size").over(line), F.lit(0)))))
-    rest = keyed.filter(F.col("cut").isNull() | (F.col("code") != F.col("cut"))).withColumn("more", whole.cast("long"))
+    edge = edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("at_cut") - F.coalesce(F.sum("size").over(line), F.lit(0)))))
+    rest = keyed.filter(F.col("cut").isNull() | F.col("code").isNull() | (F.col("code") != F.col("cut"))).withColumn("more", F.when(before, F.col("size")).otherwise(0).cast("long"))
     cols = ["id", "source", "size", "source_size", "target", F.col("base").alias("copies"), (F.col("base") * F.col("size") + F.col("more")).cast("long").alias("taken")]
     return rest.select(cols).unionByName(edge.select(cols)).withColumnRenamed("id", id_col)
 

@@ -20,6 +20,8 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of runs in one group, and runs of one anchor beyond which its windows are counted by hash in Spark instead.
 GROUP_BYTES, MOST_RUNS = 48 << 10, 48
+#: Groups of one task.
+TASK_GROUPS = 8
 
 
 def window_runs(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -161,11 +163,12 @@ def _windows(batches):
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """(c1, c2, a, b): of texts by their two hashes, the byte ranges that repeated strings cover.  docs: id, c1, c2, text."""
+    """(c1, c2, spans array<struct<a, b>>): of texts by their two hashes, the byte ranges that repeated strings cover, in
+    order.  docs: id, c1, c2, text."""
     kind = docs.schema["id"].dataType.simpleString()
-    runs = materialize(docs.select("id", "c1", "c2", "text").mapInArrow(_runs, f"id {kind}, c1 long, c2 long, anchor long, content long, start long, n long"))
-    often = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-    runs = materialize(runs.join(often, "anchor"))
+    every = materialize(docs.select("id", "c1", "c2", "text").mapInArrow(_runs, f"id {kind}, c1 long, c2 long, anchor long, content long, start long, n long"))
+    often = materialize(every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
+    runs = materialize(every.join(often, "anchor"), every, often)
     one = runs.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.max("n").alias("n"), F.min(F.struct("id", "c1", "c2", "start")).alias("at"))
     one = materialize(one)
     several = materialize(one.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
@@ -173,18 +176,20 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     per = wanted.groupBy("id", "c1", "c2").agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("wanted"))
     on = [docs[c].eqNullSafe(per[c]) for c in ("id", "c1", "c2")]
     found = docs.join(per, on).select(docs["text"], "wanted").mapInArrow(_bytes, "anchor long, content long, bytes binary")
-    found = materialize(found.join(several, "anchor"))
+    found = materialize(found.join(several, "anchor"), several, wanted)
     total = found.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     few = found.filter(F.col("kinds") <= MOST_RUNS).withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(1 + total // GROUP_BYTES)))
-    short = few.groupBy("group").applyInArrow(_extend, "anchor long, content long, a long, b long")
+    # The work lies in Python, so tasks are dealt out by groups, not by what little they read.
+    short = few.repartition(1 + total // (GROUP_BYTES * TASK_GROUPS), "group").groupBy("group").applyInArrow(_extend, "anchor long, content long, a long, b long")
     windows = found.filter(F.col("kinds") > MOST_RUNS).select("anchor", "content", "bytes").mapInArrow(_windows, "anchor long, content long, a long, h long")
     again = windows.groupBy("h").agg(F.count("*").alias("k"))
     again = materialize(again.filter("k > 1").select("h"))
     single = windows.join(again, "h").select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
     whole = one.filter("times > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    spans = materialize(short.unionByName(single).unionByName(whole))
+    spans = materialize(short.unionByName(single).unionByName(whole), one, found, again)
     place = F.col("start") + F.col("a")
-    return runs.join(spans, ["anchor", "content"]).select("c1", "c2", place.alias("a"), (place + F.col("b") - F.col("a") - 1 + LENGTH).alias("b")).distinct()
+    covered = runs.join(spans, ["anchor", "content"]).select("c1", "c2", place.alias("a"), (place + F.col("b") - F.col("a") - 1 + LENGTH).alias("b")).distinct()
+    return materialize(covered.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), runs, spans)
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -197,8 +202,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("c1"), F.hash(text).cast("long").alias("c2"), text.alias("text"))
-    spans = find_repeats(rows).groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    joined = rows.join(materialize(spans), ["c1", "c2"], "left").select("id", "text", "spans")
+    joined = rows.join(find_repeats(rows), ["c1", "c2"], "left").select("id", "text", "spans")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):

@@ -5,8 +5,8 @@ token of every prefix of a text, and with it the count, follows from the last to
 which a token can still be under way: a finite state.  Each transition carries the number of tokens it adds.  States
 are numbered as they are first met; a table from (state, symbol) to (state, tokens) is all that is read after that.
 Texts are cut in chunks that run side by side through the table.  A chunk's state map is constant after its first
-symbol that no token can cross; before it, the map is that of the few symbols of its head.  Maps compose by a prefix
-scan over the chunks of a text.
+symbol that no token can cross; before it, the map is that of the few symbols of its head.  Maps are evaluated for
+all chunks at once, for the states that the chunks before end in, until these agree along each text.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
+from kvspark.llm.common import SLICE_BYTES
+
 #: Symbols in a chunk: one lane of the table walk.
 CHUNK = 256
+#: States after which a worker's transducer starts anew; bounds its memory, never the result.
+MOST_STATES = 200_000
 SPACE = "▁"
 
 
@@ -34,31 +38,61 @@ class Vocabulary:
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in normal}
         self.prefixes = {p[:k] for p in self.rank for k in range(1, len(p) + 1)}
         self.symbols = sorted({c for p in self.rank for c in p})
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: When a piece is made: its rank, before all if it is one sign.
+        self.made = {c: -1.0 for c in self.symbols} | {p: r for p, r in self.rank.items() if len(p) > 1}
+        self.split: dict[str, tuple[str, str] | None] = {}
         crossing = {(a, b) for p in self.rank for a, b in zip(p, p[1:], strict=False)}
         #: A space sign after another sign starts anew if no piece has it inside; so does a sign outside the vocabulary.
         self.breaks = not any(b == SPACE and a != SPACE for a, b in crossing)
 
     def encode(self, text: str) -> list[str]:
         """Merges the best pair, the leftmost of equals, until none is a piece."""
-        parts = list(text)
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The pieces of a text and the last pair that was merged."""
+        parts, last = list(text), None
         while len(parts) > 1:
             best = min(((self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
             if best[0] == np.inf:
                 break
-            parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
-        return parts
+            last = (parts[best[1]], parts[best[1] + 1])
+            parts[best[1] : best[1] + 2] = ["".join(last)]
+        return parts, last
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that a longer one is merged from; None if it doesn't encode as itself."""
+        if piece not in self.split:
+            parts, last = self._merge(piece)
+            self.split[piece] = last if parts == [piece] else None
+        return self.split[piece]
 
     def alone(self, piece: str) -> bool:
         """Whether the piece encodes as itself."""
-        if (piece, "") not in self.pairs:
-            self.pairs[piece, ""] = self.encode(piece) == [piece]
-        return self.pairs[piece, ""]
+        return len(piece) == 1 or self.halves(piece) is not None
 
     def fits(self, a: str, b: str) -> bool:
-        if (a, b) not in self.pairs:
-            self.pairs[a, b] = self.encode(a + b) == [a, b]
-        return self.pairs[a, b]
+        """Whether two pieces that encode as themselves stay as they are side by side.
+
+        Undoes the later merge of the two at their border, again and again: no piece across the border may have come
+        before it, or at the same rank to its left.  Where a piece's halves don't come before it, all is merged anew.
+        """
+        first, second, latest, ties = a, b, np.inf, False
+        rank, made, split = self.rank, self.made, self.split
+        while True:
+            across = rank.get(a + b)
+            if across is not None and (across < latest or ties and across == latest):
+                return False
+            when_a, when_b = made[a], made[b]
+            ties = when_a <= when_b
+            latest = when_b if ties else when_a
+            if latest < 0:
+                return True
+            later = b if ties else a
+            halves = split[later] if later in split else self.halves(later)
+            if halves is None or made[halves[0]] >= latest or made[halves[1]] >= latest:
+                return self.encode(first + second) == [first, second]
+            a, b = (a, halves[0]) if ties else (halves[1], b)
 
 
 class Transducer:
@@ -220,25 +254,37 @@ class Transducer:
         first = np.minimum(np.append(stops, len(symbols))[np.searchsorted(stops, begin)], end)
         state, body = self.walk(symbols, other, first, end - first, np.zeros(len(doc), np.int32))
         fixed = first < end  # the map's value doesn't depend on where it starts
-        total = body
-        known = fixed.copy()
-        # Scan: heads whose entry state is known run together, until the maps that depend on it are composed.
-        todo = np.flatnonzero(first > begin)
-        while todo.size:
-            ready = todo[known[todo - 1]]
-            out, add = self.walk(symbols, other, begin[ready], first[ready] - begin[ready], state[ready - 1])
-            total[ready] += add
-            state[ready] = np.where(fixed[ready], state[ready], out)
-            known[ready] = True
-            todo = todo[~np.isin(todo, ready)]
+        # A map whose value depends on where it starts is evaluated for the state that the chunk before ends in, first for
+        # what that is without any head, then again for those whose entry state has changed, all side by side, until
+        # maps and entry states agree along every text.  Maps soon forget where they start, so few rounds are needed.
+        heads = np.flatnonzero(first > begin)
+        entry, head = np.full(len(doc), -1, np.int64), np.zeros(len(doc), np.int64)
+        while True:
+            todo = heads[entry[heads] != state[heads - 1]]
+            if not todo.size:
+                break
+            entry[todo] = state[todo - 1]
+            out, head[todo] = self.walk(symbols, other, begin[todo], first[todo] - begin[todo], state[todo - 1])
+            state[todo] = np.where(fixed[todo], state[todo], out)
+        total = body + head
         found[[i for i, t in enumerate(texts) if t]] = np.bincount(doc, total, len(said)).astype(np.int64)
         return found
 
 
 @lru_cache(maxsize=2)
+def _vocabulary(model: bytes) -> Vocabulary:
+    return Vocabulary(model)
+
+
+_COMPILED: dict[bytes, Transducer] = {}
+
+
 def compiled(model: bytes) -> Transducer:
-    """One transducer for each Python worker, which goes on growing over its tasks."""
-    return Transducer(Vocabulary(model))
+    """The transducer of a Python worker, which grows over its tasks until it has MOST_STATES."""
+    if model not in _COMPILED or len(_COMPILED[model].states) > MOST_STATES:
+        _COMPILED.clear()
+        _COMPILED[model] = Transducer(_vocabulary(model))
+    return _COMPILED[model]
 
 
 def count_tokens(docs: DataFrame, model: bytes, *, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
@@ -256,7 +302,7 @@ def count_tokens(docs: DataFrame, model: bytes, *, text_col: str = "text", count
             column, counts, a = batch.column(kept.index(text_col)), [], 0
             size = np.cumsum(np.array(pa.compute.binary_length(column).fill_null(0), np.int64)) if len(column) else []
             while a < len(column):
-                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + (4 << 20), "right")))
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES, "right")))
                 counts.append(compiled(shared.value).count([t or "" for t in column.slice(a, b - a).to_pylist()]))
                 a = b
             counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kvspark.llm.common import _LOWER, mix, prefix_sums, range_hash, slices, split_words, text_bytes
 
-#: Bounds of the sample of labelled rows that the classifier is fitted on: rows of each label, code points of a text.
+#: Bounds of the sample of labelled rows that the classifier is fitted on: rows of each label, and bytes of their texts;
+#: where the texts are longer, there are fewer of them.
 MOST_ROWS = {1: 2000, 0: 3000}
-MOST_CHARS = 100_000
+MOST_BYTES = 16 << 20
 #: Follows each window, so that matches in it end well before the input does and tiny blocks are still compressed.
 PAD = b"~0|1|2|3|4|5|6|7~"
 #: Longer words are several windows.
 WINDOW = 64
+#: Bytes by which a window has to be shorter with the toxic dictionary to count; fitting chooses one.
+THRESHOLDS = (1, 2, 3, 4)
 
 
 @dataclass(frozen=True)
@@ -28,42 +32,52 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...]
+    threshold: int = 2
     level: int = 9
 
     def distances(self, words: list[bytes]) -> np.ndarray:
         """For each word, by how many bytes less its windows take with the toxic dictionary than with the ordinary one."""
-        a, b = (
-            zstd.ZstdCompressor(level=self.level, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress
-            for d in (self.ordinary, self.toxic)
-        )
-        out = np.zeros(len(words))
-        for i, w in enumerate(words):
+        begin, windows = [], []
+        for w in words:
+            begin.append(len(windows))
             parts = [w] if len(w) <= WINDOW else [w[k : k + WINDOW] for k in range(0, len(w), WINDOW * 3 // 4)]
-            out[i] = max(len(a(u)) - len(b(u)) for u in (b" " + p + b" " + PAD for p in parts))
-        return out
-
-    def statistics(self, column: pa.Array) -> np.ndarray:
-        """Of each text: largest distance, log of the number of windows with at least 2 and of all windows, and 1."""
+            windows += [b" " + p + b" " + PAD for p in parts]
+        if not windows:
+            return np.zeros(0)
+        plain, toxic = (self._lengths(d, windows) for d in (self.ordinary, self.toxic))
+        return np.maximum.reduceat(plain - toxic, begin).astype(float)
+
+    def _lengths(self, content: bytes, windows: list[bytes]) -> np.ndarray:
+        """Bytes that each window takes with a dictionary of this content."""
+        known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        made = zstd.ZstdCompressor(level=self.level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return np.fromiter((len(x) for k in range(0, len(windows), 50_000) for x in made.multi_compress_to_buffer(windows[k : k + 50_000])), np.int64, len(windows))
+
+    def windows(self, column: pa.Array):
+        """(first row, end row, row of each window, its distance) of slices of texts."""
         buf, offsets = text_bytes(column)
-        out = np.zeros((len(offsets) - 1, 4))
-        out[:, 3] = 1
-        for a, b in slices(offsets, 8 << 20):
+        for a, b in slices(offsets):
             low = _LOWER[buf[offsets[a] : offsets[b]]]
             start, end, row = split_words(low, offsets[a : b + 1] - offsets[a])
-            if not len(start):
-                continue
-            _, first, of = np.unique(range_hash(prefix_sums(low), start, end), return_index=True, return_inverse=True)
-            data = low.tobytes()
-            d = self.distances([data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])[of]
+            if len(start):
+                _, first, of = np.unique(range_hash(prefix_sums(low), start, end), return_index=True, return_inverse=True)
+                data = low.tobytes()
+                yield a, b, row, self.distances([data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])[of]
+
+    def statistics(self, rows: int, windows) -> np.ndarray:
+        """Of each text: largest distance, log of the number of windows that reach the threshold and of all windows, and 1."""
+        out = np.zeros((rows, 4))
+        out[:, 3] = 1
+        for a, b, row, d in windows:
             largest = np.zeros(b - a)
             np.maximum.at(largest, row, d)
             out[a:b, 0] = np.minimum(largest, 8)
-            out[a:b, 1] = np.log1p(np.bincount(row[d >= 2], minlength=b - a))
+            out[a:b, 1] = np.log1p(np.bincount(row[d >= self.threshold], minlength=b - a))
             out[a:b, 2] = np.log1p(np.bincount(row, minlength=b - a))
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.statistics(column) @ np.array(self.weights), -30, 30))) if self.weights else np.zeros(len(column))
+        return 1 / (1 + np.exp(-np.clip(self.statistics(len(column), self.windows(column)) @ np.array(self.weights), -30, 30))) if self.weights else np.zeros(len(column))
 
 
 def _bags(texts: list[str]) -> list[set[bytes]]:
@@ -73,7 +87,7 @@ def _bags(texts: list[str]) -> list[set[bytes]]:
     common = {w for w, c in seen_in.items() if c > max(3, 0.02 * len(bags))}
     seen, out = set(), []
     for b in bags:
-        rare = np.array([hash_of(w) for w in b - common] or [0], np.uint64)
+        rare = np.array([crc32(w) for w in (b - common or b)] or [0], np.uint64)
         marks = {(k, int(mix(rare ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min())) for k in range(3)}
         if not marks & seen:
             out.append(b)
@@ -81,11 +95,6 @@ def _bags(texts: list[str]) -> list[set[bytes]]:
     return out
 
 
-def hash_of(word: bytes) -> int:
-    buf = np.frombuffer(word, np.uint8)
-    return int(range_hash(prefix_sums(buf), np.array([0]), np.array([len(buf)]))[0])
-
-
 def dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> tuple[bytes, bytes]:
     """Contents: windows that recur in many texts of a class, the commonest last, which is nearest to the input.
 
@@ -117,21 +126,29 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit_texts(texts: list[str], labels: list[int]) -> Model:
-    """Fits on texts in a fixed order: two of three give the dictionaries, the others the thresholds; both if these are few."""
+    """Fits on texts in a fixed order: two of three by hash give the dictionaries, the others the thresholds; all do both if they are few."""
     order = range(len(texts))
     of = lambda y, part: [texts[i] for i in order if labels[i] == y and part(i)]
     if not of(1, lambda i: True) or not of(0, lambda i: True):
         return Model(b"", b"", ())
     few = sum(labels) < 60
-    toxic, ordinary = dictionaries(*(_bags(of(y, lambda i: few or i % 3)) for y in (1, 0)))
-    model = Model(toxic, ordinary, ())
-    held = [i for i in order if few or i % 3 == 0]
-    x = model.statistics(pa.array([texts[i] for i in held], pa.string()))
-    return Model(toxic, ordinary, calibrate(x, np.array([labels[i] for i in held], float)))
+    third = [crc32(t.encode()) % 3 == 0 for t in texts]
+    toxic, ordinary = dictionaries(*(_bags(of(y, lambda i: few or not third[i])) for y in (1, 0)))
+    held = [i for i in order if few or third[i]]
+    column, y = pa.array([texts[i] for i in held], pa.string()), np.array([labels[i] for i in held], float)
+    windows = list(Model(toxic, ordinary, ()).windows(column))
+    best, fitted = np.inf, None
+    for threshold in THRESHOLDS:  # that by which the held texts are told apart best
+        x = Model(toxic, ordinary, (), threshold).statistics(len(held), windows)
+        weights = calibrate(x, y)
+        loss = np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ np.array(weights))).mean()
+        if loss < best:
+            best, fitted = loss, Model(toxic, ordinary, weights, threshold)
+    return fitted
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -142,8 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for label, most in MOST_ROWS.items():
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, MOST_CHARS).alias("text")).dropna()
-    rows = sorted((r.id, r.label, r.text) for r in texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
+    texts = texts.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    # At most the sample's few thousand rows come to this window, and of these as many as the bytes allow to the driver.
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sorted((r.id, r.label, r.text) for r in texts.withColumn("bytes", size).filter(F.col("bytes") <= MOST_BYTES // 2).collect())
     return fit_texts([r[2] for r in rows], [r[1] for r in rows])
 
 

@@ -59,6 +59,31 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_distances_are_differences_of_compressed_lengths():
+    import zstandard as zstd
+
+    rng = random.Random(4)
+    plain, bad = [f"plain{i}" for i in range(1500)], ["zarkhole", "grubface", "snotwit"]
+    labels = [int(i % 3 == 0) for i in range(300)]
+    model = toxicity.fit_texts([" ".join(rng.choices(plain, k=30) + rng.choices(bad, k=2 * y)) for y in labels], labels)
+    assert model.threshold in toxicity.THRESHOLDS
+
+    def size(content, word):
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        return len(zstd.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b" " + word + b" " + toxicity.PAD))
+
+    words = [w.encode() for w in [*plain, *bad, "unseen"]]
+    assert model.distances(words).tolist() == [size(model.ordinary, w) - size(model.toxic, w) for w in words]
+    assert min(model.distances([w.encode() for w in bad])) >= model.threshold > max(model.distances([w.encode() for w in plain]))
+
+
+def test_held_out_is_never_null(spark):
+    ids = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    import zlib
+
+    assert {r.doc_id: r.h for r in ids.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()} == {None: False, 1: zlib.crc32(b"1") % 5 == 0, 2: zlib.crc32(b"2") % 5 == 0}
+
+
 # 3
 
 
@@ -112,6 +137,27 @@ def test_mix_meets_targets(spark):
     assert mixing.pareto_mix(docs.limit(0)).count() == 0
 
 
+def test_mix_draws_by_inclusion_odds(spark):
+    """Over many seeds, each document is drawn as often as its inclusion probability says."""
+    rng = random.Random(8)
+    sizes = [rng.choice([1, 4, 9, 100]) for _ in range(600)] + [9000]
+    docs = spark.createDataFrame([(i, "a", "w " * n) for i, n in enumerate(sizes)] + [(1000 + i, "b", "w " * 200) for i in range(300)], "doc_id long, source string, text string").cache()
+    times, runs = Counter(), 6
+    for seed in range(runs):
+        found = mixing.pareto_mix(docs, weights=(1, 5), seed=seed).filter("source = 'a'").collect()
+        for r in found:
+            times[r.doc_id] += (r.taken - r.copies * r.size) / r.size
+        rest = round(found[0].target) - found[0].copies * found[0].source_size
+    low, high = 0.0, 10.0
+    for _ in range(100):  # the slope at which the expected words are what is lacking
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * n**0.5) * n for n in sizes) < rest else (low, mid)
+    for n in (1, 4, 9, 100):
+        own = [i for i, k in enumerate(sizes) if k == n]
+        p, k = min(1, low * n**0.5), len(own) * runs
+        assert abs(sum(times[i] for i in own) / k - p) < 4 * (p * (1 - p) / k) ** 0.5 + 0.03
+
+
 # 5
 
 
@@ -130,6 +176,10 @@ def test_vectors_against_all_pairs(spark):
     found = sum(got[i].n_links for i in range(len(u)))
     assert found <= near.sum() and found >= 0.9 * near.sum()
     assert all(got[i].n_links <= near[i].sum() for i in range(len(u)))
+    root = list(range(len(u)))
+    for _ in range(len(u)):
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(u))]
+    assert all(got[i].component_id >= root[i] for i in range(len(u))) and sum(got[i].component_id == root[i] for i in range(len(u))) >= 0.9 * len(u)
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _ in odd)
     assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
     assert vectors.near_vectors(df.limit(0)).count() == 0
@@ -234,6 +284,47 @@ def test_lm_bigrams_seen_once(spark):
     assert sum(got[1000 + i] - got[2000 + i] > 2 for i in range(300)) > 285
 
 
+def brute_model(rows, train):
+    """Scores by a dictionary of quantised counts."""
+    q = lambda c: float(lm.value(lm.levels(np.array([c])))[0]) if c else 0.0
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if train(i):
+            w = [*word_list(t), "<end>"]
+            one.update(w)
+            two.update(zip(["<begin>", *w], w))
+    z, ends = sum(one.values()) + 0.1 * (len(one) + 1), one["<end>"]
+    out = []
+    for _, t in rows:
+        w = [*word_list(t), "<end>"]
+        context = lambda u: max(ends, 1) if u == "<begin>" else max(q(one[u]), 1.0)
+        out.append(sum(math.log10(lm.WEIGHT * min(1.0, q(two[u, v]) / context(u)) + (1 - lm.WEIGHT) * (q(one[v]) + 0.1) / z) for u, v in zip(["<begin>", *w], w)))
+    return out
+
+
+def test_lm_against_exact_model(spark, monkeypatch):
+    """One pass or several, words sent around or joined: scores are those of a dictionary but for the filter's false hits,
+    of which one in eight raises a count by a level."""
+    rng = random.Random(12)
+    vocab = [f"v{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 5, 60])))) for i in range(250)]
+    rows += [(3, rows[3][1]), (3, rows[3][1]), (777, None), (778, "  "), (779, "unseen words only"), (780, " ".join(rng.choices(vocab, k=30_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, passes = brute_model(rows, lambda i: i % 4), []
+    for limits in ({"SEGMENT": 256}, {"MOST_FILTER": 1024}, {"MOST_WORDS": 40}):
+        for name, v in limits.items():
+            monkeypatch.setattr(lm, name, v)
+        got = {}
+        for r in lm.score(docs, F.col("doc_id") % 4 != 0).collect():
+            got.setdefault(r.doc_id, []).append(r)
+        off = [abs(got[i][0].score - w) / max(1.0, abs(w)) for (i, _), w in zip(rows, want)]
+        assert len(got[3]) == 3 and len({round(r.score, 9) for r in got[3]}) == 1
+        assert np.median(off) < 0.04 and max(off) < 0.2, off
+        passes.append({i: (r[0].n_tokens, r[0].n_known, round(r[0].base_score, 6), round(r[0].score, 6)) for i, r in got.items()})
+    assert passes[0] == passes[1]  # the same filter in one pass and in many
+    assert {i: x[:3] for i, x in passes[0].items()} == {i: x[:3] for i, x in passes[2].items()}
+
+
 def test_lm_filter_levels():
     rng = np.random.default_rng(2)
     h, n = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(1, 500, 5000)
@@ -291,6 +382,31 @@ def test_tokens_as_the_library(spark):
     assert tokens.count_tokens(docs.limit(0), tokens.read_model()).count() == 0
 
 
+def test_pieces_side_by_side():
+    """Whether two pieces stay apart, by undoing merges, is as merging anew has it."""
+    pytest.importorskip("public_tokenizers")
+    v, rng = tokens.Vocabulary(tokens.read_model()), random.Random(13)
+    pieces = [p for p in v.rank if v.alone(p)]
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(1500)]
+    for p in rng.sample([p for p in pieces if len(p) > 2], 1500):
+        k = rng.randrange(1, len(p))
+        pairs += [(p[:k], p[k:])] if p[:k] in v.rank and p[k:] in v.rank else []
+    odd = [(a, b) for a, b in pairs if v.alone(a) and v.alone(b) and v.fits(a, b) != (v.encode(a + b) == [a, b])]
+    assert not odd
+
+
+def test_transducer_without_breaks_and_anew(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    model, rng = tokens.read_model(), random.Random(14)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["a" * 5000, "ab" * 3000, "中文字" * 1000, "".join(rng.choices("abcdefgh", k=4000)), "x" * 300 + " y"]
+    monkeypatch.setattr(tokens, "MOST_STATES", 50)
+    for t in texts * 2:  # each call starts anew once there are more states
+        assert tokens.compiled(model).count([t]).tolist() == [len(sp.encode(t))]
+
+
 # The queries and the pipeline on the test tables
 
 
@@ -321,11 +437,81 @@ def test_warc_query_as_sql(spark):
 
 
 @needs_data
-def test_pipeline_stages(spark):
+def test_pipeline_on_empty_documents(spark):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    empty = docs.limit(0)
     for _, stage in p.STAGES[:-1]:
-        assert stage(spark, empty, DATA).columns == docs.columns
+        assert stage(spark, docs.limit(0), DATA).columns == docs.columns
     assert p.run(spark, DATA).count() > 0
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder with documents, labels and benchmark, and what each stage has to do with them."""
+    rng = random.Random(15)
+    vocab = [f"word{i}" for i in range(2000)]
+    prose = lambda n: " ".join(rng.choices(vocab, k=n))
+    bad, rows, labels = ["zarkhole", "grubface", "snotwit"], [], []
+    for i in range(300):
+        text = prose(60)
+        if i % 3 == 0:
+            text += " " + " ".join(rng.choices(bad, k=3))
+        rows.append((i, text, "en", f"s{i % 2}", len(text)))
+        labels.append((i, int(i % 3 == 0)))
+    item, base, other = prose(40), prose(80), prose(50)
+    extra = [(1000, base), (1001, base), (1002, base + " end"), (1003, prose(20) + " " + item), (1004, None), (1005, ""), (1006, other + " password=abcdefghijklmnop"), (None, prose(30)), (1007, prose(30)), (1007, prose(30)), (1008, other), (1008, other), (None, base)]
+    rows += [(i, t, None if i == 1004 else "en", None if i is None else "s1", len(t or "")) for i, t in extra]
+    at = tmp_path_factory.mktemp("planted")
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return f"file://{at}", rows
+
+
+def test_pipeline_stages_by_plain_python(spark, planted):
+    import corpus_pipeline as p
+
+    sf, rows = planted
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    stage = dict(p.STAGES)
+    rest = lambda name, rows: sorted((tuple(r) for r in stage[name](spark, spark.createDataFrame(rows, DOCS), sf).collect()), key=key)
+    toxic = lambda t: any(w in (t or "") for w in ("zarkhole", "grubface", "snotwit"))
+    clean = sorted((r for r in rows if not toxic(r[1])), key=key)
+    assert sorted((tuple(r) for r in stage["toxicity"](spark, docs, sf).collect()), key=key) == clean
+    # near copies
+    base, kept, seen = next(t for i, t, *_ in rows if i == 1000), [], set()
+    for r in sorted(clean, key=key):
+        copy = (base in r[1]) and r[0] != 1000 if r[1] else False
+        if not copy and (not r[1] or (r[0], r[1]) not in seen):
+            kept.append(r)
+            seen.add((r[0], r[1]))
+    other = next(t for i, t, *_ in rows if i == 1008)
+    kept = [r for r in kept if not (r[0] == 1008 and r[1] == other)]  # 1006 has nearly the same words and the smaller id
+    assert rest("near copies", clean) == kept
+    # leaks, secrets
+    left = [r for r in kept if r[0] != 1003]
+    assert rest("benchmark leaks", kept) == left
+    hidden = sorted(((r[0], r[1] and r[1].replace("password=abcdefghijklmnop", "[SECRET]"), *r[2:4], len(r[1].replace("password=abcdefghijklmnop", "[SECRET]")) if r[1] is not None else r[4]) for r in left), key=key)
+    assert rest("secrets", left) == hidden
+    mix = stage["mix"](spark, spark.createDataFrame(hidden, DOCS), sf).collect()
+    per = {r.source: (r.target, sum(x.taken for x in mix if x.source == r.source)) for r in mix}
+    assert all(r.taken > 0 for r in mix) and all(abs(t - k) <= 1 for t, k in per.values())
+    assert Counter(map(tuple, p.run(spark, sf).collect())) == Counter(map(tuple, mix))
+
+
+def test_pipeline_stages_read_extra_columns_and_repeats(spark, planted):
+    import corpus_pipeline as p
+
+    sf, _ = planted
+    rows = [(1, "a b c d e f", "en", "s", 11)] * 3 + [(2, None, None, None, None)] * 2 + [(None, "", "en", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"row": F.lit(1), "items": F.lit("x"), "key": F.lit(2), "times": F.lit(3), "spans": F.lit(4), "score": F.lit(5)})
+    want = {"toxicity": 7, "near copies": 5, "benchmark leaks": 7}
+    for name, n in want.items():
+        found = dict(p.STAGES)[name](spark, docs, sf)
+        assert found.columns == p.COLUMNS and found.count() == n
+    assert dict(p.STAGES)["secrets"](spark, docs, sf).columns == p.COLUMNS
