@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kvspark.llm import contamination, jaccard, mixing, secrets, toxicity
-from kvspark.llm.common import materialize
+from kvspark.llm.common import WORD, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,16 +21,26 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group; documents without an id or without words stay, repeated rows are one."""
-    found = materialize(jaccard.jaccard_join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct())
-    one = docs.select(COLUMNS).join(found, F.col("doc_id") == F.col("stays"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(COLUMNS).filter("doc_id IS NULL"))
+    """One document of each group of near copies: that of least doc_id, one without an id only if none has one.
+
+    Rows are told apart by doc_id and text, so rows of one id with different texts are documents of their own; of rows
+    that are the same in both, one stays.  Documents without words stay, each of them.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"))
+    rows, words = docs.select(COLUMNS).withColumn("row", row), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    found = jaccard.jaccard_join(rows.select("row", "text"), id_col="row").filter("n_shingles > 0 AND row = component_id")
+    found = materialize(found.groupBy("row").agg(F.count("*").alias("times")))
+    joined = rows.filter(words).join(found, "row")
+    stays = joined.filter("times = 1").select(COLUMNS)
+    if not found.filter("times > 1").isEmpty():
+        stays = stays.unionByName(joined.filter("times > 1").dropDuplicates(["row"]).select(COLUMNS))
+    return stays.unionByName(rows.filter(~words).select(COLUMNS))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to 4/5 or more."""
-    found = contamination.find_items(docs.withColumn("whole", F.col("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), other_cols=("whole", "lang", "source", "n_chars"))
-    return found.filter("n_items = 0").withColumnRenamed("whole", "text").select(COLUMNS)
+    found = contamination.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), other_cols=("text", "lang", "source", "n_chars"))
+    return found.filter("n_items = 0").select(COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +49,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, source, size, source_size, target, copies, taken."""
-    return mixing.pareto_mix(docs)
+    """What the mix takes: doc_id, source, size, source_size, target, copies, taken of each document that it takes words of."""
+    return mixing.pareto_mix(docs).filter("taken > 0")
 
 
 STAGES = [
@@ -56,6 +66,6 @@ ORACLE_SQL = None  # a trained classifier and similarity joins are no SQL; tests
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialize(stage(spark, docs, sf_dir), *([docs] if k else []))
     return STAGES[-1][1](spark, docs, sf_dir)
