@@ -64,7 +64,8 @@ def dereference(index: DataFrame, blob: DataFrame, strict: bool = True) -> DataF
 def roll_over(records: DataFrame, target: int) -> DataFrame:
     """records (part, key, size) with the file each goes to: a file ends with the record that fills it to target.
 
-    Parts are ranges of the key order; in each, a fold over the ordered sizes carries the bytes since the last end.
+    Parts are ranges of the key order, of a bounded number of records each; in a part, a fold over the ordered sizes
+    carries the bytes since the last end, which no window function can.
     """
     import pandas as pd
 

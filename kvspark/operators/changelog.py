@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_of(log: DataFrame, snapshot: int | None = None, keys: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -36,19 +36,23 @@ def multi_get(log: DataFrame, requests: DataFrame, snapshot: int | None = None)
     return requests.join(found, "key", "left").select("pos", "key", "value", F.coalesce("status", F.lit("NotFound")).alias("status"))
 
 
-def scan(log: DataFrame, *, lower=None, upper=None, prefix=None, snapshot: int | None = None, reverse: bool = False, limit: int | None = None, key_only: bool = False, sort: bool = True) -> DataFrame:
-    """Live entries with lower <= key < upper and the prefix, in key order; limit is a top-n, not a full sort."""
+def scan(log: DataFrame, *, lower=None, upper=None, prefix=None, snapshot: int | None = None, reverse: bool = False, limit: int | None = None, key_only: bool = False, sort: bool = True, order_key: Column | None = None) -> DataFrame:
+    """Live entries with lower <= key < upper and the prefix, in key order; limit is a top-n, not a full sort.
+
+    order_key is an order of one's own, by which rows are sorted and which the bounds are compared with.
+    """
+    place = F.col("key") if order_key is None else order_key
     if lower is not None:
-        log = log.filter(F.col("key") >= F.lit(lower))
+        log = log.filter(place >= F.lit(lower))
     if upper is not None:
-        log = log.filter(F.col("key") < F.lit(upper))
+        log = log.filter(place < F.lit(upper))
     if prefix is not None:
         log = log.filter(F.startswith(F.col("key"), F.lit(prefix)))
     if key_only:
         log = log.drop("value")
     rows = latest(log, snapshot)
     if sort:
-        rows = rows.orderBy(F.col("key").desc() if reverse else F.col("key"))
+        rows = rows.orderBy(place.desc() if reverse else place)
     return rows if limit is None else rows.limit(limit)
 
 
@@ -63,15 +67,11 @@ def seek_for_prev(log: DataFrame, target, snapshot: int | None = None) -> DataFr
 
 
 def snapshots(log: DataFrame, at: list[int]) -> DataFrame:
-    """Live entries at each snapshot of at: the versions of a key and the snapshots are one ordered line."""
-    line = log.select("key", "seq", "op", "value", F.lit(None).cast("long").alias("snap"))
-    keys = log.select("key").distinct()
-    ask = keys.select("key", F.explode(F.array(*map(F.lit, at))).alias("snap"))
-    ask = ask.select("key", F.col("snap").alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(log.schema["value"].dataType).alias("value"), "snap")
-    w = Window.partitionBy("key").orderBy("seq", F.col("snap").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("snap").isNull(), F.struct("op", "value", F.col("seq").alias("at"))), True).over(w)
-    rows = line.unionByName(ask).withColumn("v", seen).filter("snap IS NOT NULL AND v.op = 'PUT'")
-    return rows.select("snap", "key", F.col("v.at").alias("seq"), F.col("v.value").alias("value"))
+    """Live entries at each snapshot of at: one aggregate for each, which all combine before one shuffle by key."""
+    newest = [F.max_by(F.struct("seq", "op", "value"), F.when(F.col("seq") <= snap, F.col("seq"))).alias(f"at_{k}") for k, snap in enumerate(at)]
+    entries = F.array(*(F.struct(F.lit(snap).alias("snap"), F.when(F.col(f"at_{k}.seq") <= snap, F.col(f"at_{k}")).alias("v")) for k, snap in enumerate(at)))
+    rows = log.groupBy("key").agg(*newest).select("key", F.explode(entries).alias("x")).filter("x.v.op = 'PUT'")
+    return rows.select("x.snap", "key", "x.v.seq", "x.v.value")
 
 
 def write_batch(log: DataFrame, *batches: DataFrame) -> DataFrame:
@@ -79,18 +79,27 @@ def write_batch(log: DataFrame, *batches: DataFrame) -> DataFrame:
 
     Numbers follow the batch and pos, which is unique in a batch.
     """
-    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    out, add = log, F.lit(0)
+    top, out = log.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar(), log
     for b in batches:
-        out = out.unionByName(b.join(F.broadcast(top)).select("key", (F.col("top") + add + F.col("pos")).alias("seq"), "op", "value"), allowMissingColumns=True)
-        add = add + F.lit(b.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0])
+        out = out.unionByName(b.select("key", (top + F.col("pos")).alias("seq"), "op", "value"), allowMissingColumns=True)
+        top = top + b.agg(F.coalesce(F.max("pos"), F.lit(0))).scalar()
     return out
 
 
 def ingest(log: DataFrame, rows: DataFrame) -> DataFrame:
     """log with the rows (key, value) as its newest versions, all at one number."""
-    top = log.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))
-    return log.unionByName(rows.join(F.broadcast(top)).select("key", "seq", F.lit("PUT").alias("op"), "value"), allowMissingColumns=True)
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).scalar()
+    return log.unionByName(rows.select("key", top.alias("seq"), F.lit("PUT").alias("op"), "value"), allowMissingColumns=True)
+
+
+def compact_range(log: DataFrame, begin=None, end=None) -> DataFrame:
+    """log with begin <= key < end rewritten: of each key there its newest version alone, none of a deleted one; None is no bound."""
+    inside = F.lit(True)
+    if begin is not None:
+        inside &= F.col("key") >= F.lit(begin)
+    if end is not None:
+        inside &= F.col("key") < F.lit(end)
+    return log.filter(~inside).unionByName(latest(log.filter(inside)).select(log.columns))
 
 
 def delete_range(log: DataFrame, tombstones: list[tuple[object, object, int]]) -> DataFrame:
@@ -105,7 +114,7 @@ def compaction_filter(log: DataFrame, remove: Column, snapshot: int | None = Non
 
 
 def expire(log: DataFrame, time: Column, now: Column, ttl: int) -> DataFrame:
-    """Live entries that aren't older than ttl; the age is compared strictly."""
+    """Live entries that aren't older than ttl; the age is compared strictly.  now may be a scalar subquery."""
     return latest(log).filter(~(now - time > ttl))
 
 
@@ -117,7 +126,12 @@ def merge(*_):
 single_delete = merge
 
 
-def fold_append(log: DataFrame) -> DataFrame:
-    """All values of each key in the order of their numbers, joined by commas."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "value")))
-    return log.groupBy("key").agg(F.array_join(F.transform(rows, lambda r: r["value"]), ",").alias("value"))
+def fold_append(log: DataFrame, part: int = 10_000) -> DataFrame:
+    """All values of each key in the order of their numbers, joined by commas.
+
+    Values are folded by runs of part numbers first, so a key with very many is no task of its own until its folded
+    value is put together.
+    """
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda r: r["value"]), ",").alias("value")
+    runs = log.groupBy("key", F.floor(F.col("seq") / part).alias("run")).agg(joined(F.collect_list(F.struct("seq", "value"))))
+    return runs.groupBy("key").agg(joined(F.collect_list(F.struct("run", "value"))))

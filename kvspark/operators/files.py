@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kvspark.config import Options
 from kvspark.functions import discardable_ratio, ratio_bucket
 
-#: Events of a file and the states they lead to: (event, states it acts on or None for any, next state).
+# Events of a file, the states each acts on (None: any) and the state it leads to.
 TRANSITIONS = (
     ("DbStart", ("None",), "PendingInit"),
     ("DbInit", ("PendingInit",), "Normal"),
@@ -53,6 +53,25 @@ def compaction_delta(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return signed.groupBy("file_number").agg(F.sum("delta").alias("delta"))
 
 
+def compaction_completed(files: DataFrame, delta: DataFrame, seq: int, options: Options = Options()) -> DataFrame:
+    """files after a compaction that changed live bytes by delta (file_number, delta).
+
+    A file that isn't initialised only changes its bytes.  One whose flush or compaction isn't known to have ended takes
+    only what is lost, as what it gained was counted when it was written, and becomes normal.  Others take the change.
+    What then has no live bytes is obsolete at seq: of the second kind always, of the others under level merge, under
+    which files of the last two levels beyond the discardable ratio are marked for merging.
+    """
+    o, state, d = options, F.col("state"), F.coalesce(F.col("delta"), F.lit(0))
+    rows = files.join(delta.select(F.col("file_number").alias("f"), "delta"), F.col("file_number") == F.col("f"), "left")
+    touched = F.col("f").isNotNull() & (state != "OBSOLETE")
+    young, settled = touched & (state == "PENDING_LSM"), touched & state.isin("NORMAL", "TO_MERGE")
+    live = F.col("live_data_size") + F.when(young, F.least(d, F.lit(0))).when(settled | (touched & (state == "PENDING_INIT")), d).otherwise(0)
+    gone = (live == 0) & (young | settled & F.lit(o.level_merge))
+    marked = settled & F.lit(o.level_merge) & (F.col("file_level") >= o.num_levels - 2) & (discardable_ratio(F.col("file_size"), live) > o.blob_file_discardable_ratio)
+    new = F.when(gone, "OBSOLETE").when(marked, "TO_MERGE").when(young, "NORMAL").otherwise(state)
+    return rows.withColumns({"live_data_size": live, "state": new, "obsolete_seq": F.when(gone, F.lit(seq).cast("long")).otherwise(F.col("obsolete_seq"))}).drop("f", "delta")
+
+
 def score(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Files that aren't obsolete with ratio and score; small files score the threshold at least."""
     ratio = discardable_ratio(F.col("file_size"), F.col("live_data_size"))
@@ -76,6 +95,26 @@ def gauges(files: DataFrame) -> DataFrame:
     )
 
 
+def properties(files: DataFrame, levels: int = 7) -> DataFrame:
+    """(name, value): what a store says of itself by name; a name's trailing digits are a level."""
+    live, begun = F.col("state") != "OBSOLETE", F.col("state") != "PENDING_INIT"
+    bucket = ratio_bucket(discardable_ratio(F.col("file_size"), F.col("live_data_size")))
+    total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    known = {
+        "num-live-blob-file": F.count_if(live), "num-obsolete-blob-file": F.count_if(~live),
+        "live-blob-size": total(live & begun, "live_data_size"), "live-blob-file-size": total(live & begun, "file_size"), "obsolete-blob-file-size": total(~live, "file_size"),
+    }
+    known |= {f"num-blob-files-at-level{k}": F.count_if(live & (F.col("file_level") == k)) for k in range(levels)}
+    known |= {f"num-discardable-ratio-{b.lower()}-file": F.count_if(live & (bucket == b)) for b in ("LE0", "LE20", "LE50", "LE80", "LE100")}
+    row = files.agg(F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*(v.cast("long") for v in known.values()))).alias("m"))
+    return row.select(F.explode("m").alias("name", "value"))
+
+
+def index_file_pairs(maps: DataFrame) -> DataFrame:
+    """(sst, file_number, size) of index_file_bytes."""
+    return maps.select("sst", F.explode("bytes").alias("file_number", "size"))
+
+
 def files_per_level(files: DataFrame) -> DataFrame:
     return files.filter("state <> 'OBSOLETE'").groupBy("file_level").agg(F.count("*").alias("files"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kvspark.config import Options
+from kvspark.operators.blobs import offsets
 from kvspark.operators.files import score
 
 
@@ -54,6 +55,38 @@ def conflicts(planned: DataFrame, index: DataFrame) -> DataFrame:
     return rows.filter("reason IS NOT NULL").select("key", "file_number", "size", "reason")
 
 
+def relocate(blob: DataFrame, index: DataFrame, inputs: Column, to: Column) -> DataFrame:
+    """Records of the input files that index points to when a collection begins, laid out in new files.
+
+    blob (file_number, offset, key, value, size) with new_file and new_offset; to is the new file of a record and must
+    grow with the key, a file holding no more than the target size.
+    """
+    now = live_records(blob.filter(inputs), index).withColumn("new_file", to)
+    laid = offsets(now.select(F.col("new_file").alias("file_number"), "key", "value")).select(F.col("file_number").alias("new_file"), "key", F.col("offset").alias("new_offset"))
+    return now.join(laid, ["new_file", "key"])
+
+
+def install(moved: DataFrame, index: DataFrame) -> DataFrame:
+    """index (key, inline_value, pointer) as a collection leaves it: a key gets its new pointer if the one that its record
+    was moved from is still there; an entry that has changed in the meantime stays."""
+    to = moved.select(F.col("key").alias("k"), F.struct("file_number", "offset").alias("was"), F.struct(F.col("new_file").alias("file_number"), F.col("new_offset").alias("offset"), "size").alias("now"))
+    rows = index.join(to, F.col("key") == F.col("k"), "left")
+    kept = (F.col("was.file_number") == F.col("pointer.file_number")) & (F.col("was.offset") == F.col("pointer.offset"))
+    return rows.select("key", "inline_value", F.when(kept, F.col("now")).otherwise(F.col("pointer")).alias("pointer"))
+
+
+def dropped_bytes(moved: DataFrame, index: DataFrame) -> DataFrame:
+    """Bytes of new files that a collection has written for keys which have changed in the meantime, by file."""
+    lost = conflicts(moved.select("key", "file_number", "offset", "size"), index).select("key")
+    return moved.join(lost, "key", "left_semi").groupBy(F.col("new_file").alias("file_number")).agg(F.sum("size").alias("dropped"))
+
+
+def finish(files: DataFrame, inputs: Column, seq: int) -> DataFrame:
+    """files with the inputs of a collection obsolete at seq; those that were so before keep their number."""
+    hit = inputs & (F.col("state") != "OBSOLETE")
+    return files.withColumns({"obsolete_seq": F.when(hit, F.lit(seq).cast("long")).otherwise(F.col("obsolete_seq")), "state": F.when(hit, "OBSOLETE").otherwise(F.col("state"))})
+
+
 def metrics(blob: DataFrame, index: DataFrame) -> DataFrame:
     """Records and bytes that a collection reads, relocates and drops."""
     now = index.filter("pointer IS NOT NULL").select(F.col("key").alias("k"), "pointer")

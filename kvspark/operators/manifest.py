@@ -51,5 +51,5 @@ def orphans(listing: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def checkpoint(edits: DataFrame, path: str) -> None:
-    """Writes the folded manifest to a new folder; one that exists is refused."""
-    replay(edits).write.mode("errorifexists").parquet(path)
+    """Writes the folded manifest to a new folder, as edits that replay() opens again; a folder that exists is refused."""
+    replay(edits).select("edit_id", F.lit("ADD").alias("kind"), "file_number").write.mode("errorifexists").parquet(path)

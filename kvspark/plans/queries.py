@@ -23,7 +23,7 @@ def newest(where: str = "TRUE", log: str = "log", name: str = "latest") -> str:
 
 LATEST = f"WITH {LOG}, {newest()} "
 VARLEN = "CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END"
-RECORDS = f"rec AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS key, text AS value, doc_id % 37 + 1 AS file_number, 18 + n + {VARLEN} AS size FROM (SELECT *, CAST(strlen(text) AS BIGINT) AS n FROM documents) WHERE n >= 4096), blob AS (SELECT *, CAST(20 + coalesce(sum(size) OVER (PARTITION BY file_number ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM rec)"
+RECORDS = f"rec AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS key, text AS value, doc_id // 25 + 1 AS file_number, 18 + n + {VARLEN} AS size FROM (SELECT *, CAST(strlen(text) AS BIGINT) AS n FROM documents) WHERE n >= 4096), blob AS (SELECT *, CAST(20 + coalesce(sum(size) OVER (PARTITION BY file_number ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM rec)"
 INDEX = "lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id), state AS (SELECT b.*, CASE WHEN quality = 0 THEN 'key deleted' WHEN toxic = 1 THEN 'key overwritten with other value' END AS reason FROM blob b LEFT JOIN lab USING (doc_id))"
 FILES = "files AS (SELECT file_number, count(*) AS file_entries, CAST(52 + sum(size) AS BIGINT) AS file_size, min(key) AS smallest_key, max(key) AS largest_key, CAST(coalesce(sum(size) FILTER (reason IS NULL), 0) AS BIGINT) AS live_data_size, CAST(file_number % 7 AS INT) AS file_level, CASE WHEN file_number % 11 = 0 THEN 'OBSOLETE' WHEN file_number % 7 = 3 THEN 'BEING_GC' ELSE 'NORMAL' END AS state, CASE WHEN file_number % 11 = 0 THEN file_number * 10 END AS obsolete_seq FROM state GROUP BY file_number)"
 META = f"WITH {RECORDS}, {INDEX}, {FILES} "
@@ -75,8 +75,12 @@ def state_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def pairs_of(s: SparkSession, d: str, before: bool) -> DataFrame:
-    """Pointers that a compaction read (odd suppliers) or wrote (the first half of the lines)."""
-    line = read(s, d, "lineitem").filter("l_suppkey % 2 = 1" if before else "l_linenumber <= 3")
+    """Pointers that a compaction read (lines still open) or wrote (all others)."""
+    line = read(s, d, "lineitem").filter("l_linestatus = 'O'" if before else "l_linestatus <> 'O'")
+    return pointers(line)
+
+
+def pointers(line: DataFrame) -> DataFrame:
     return line.select(F.col("l_suppkey").alias("file_number"), F.col("l_partkey").alias("size"), F.col("l_orderkey").alias("sst"))
 
 
@@ -205,8 +209,17 @@ def compaction_filter_keyonly(s, d):
 @query(LATEST + "SELECT key, seq, value FROM latest WHERE NOT (SELECT max(seq) FROM log) - seq > 100")
 def ttl_expire(s, d):
     log = events_log(s, d)
-    now = log.agg(F.max("seq").alias("now"))
-    return C.latest(log).join(F.broadcast(now)).filter("NOT now - seq > 100").select(*KSV)
+    return C.expire(log, F.col("seq"), log.agg(F.max("seq")).scalar(), 100).select(*KSV)
+
+
+@query(f"WITH {LOG}, {newest(f"key >= '{LOW}' AND key < '{HIGH}'")} SELECT key, seq, op, value FROM log WHERE NOT (key >= '{LOW}' AND key < '{HIGH}') UNION ALL SELECT key, seq, 'PUT', value FROM latest")
+def compact_range(s, d):
+    return C.compact_range(events_log(s, d), LOW, HIGH).select("key", "seq", "op", "value")
+
+
+@query(LATEST + "SELECT key, value FROM latest WHERE reverse(key) >= '5' ORDER BY reverse(key) LIMIT 25")
+def scan_own_order(s, d):
+    return C.scan(events_log(s, d), lower="5", limit=25, order_key=F.reverse("key")).select("key", "value")
 
 
 @query(LATEST + "SELECT count(*) AS entries, CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS bytes FROM latest")
@@ -214,9 +227,9 @@ def compact_all(s, d):
     return C.latest(events_log(s, d)).agg(F.count("*").alias("entries"), F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("bytes"))
 
 
-@query(f"WITH {LOG} SELECT key, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS value FROM log WHERE op = 'DELETE' GROUP BY key")
+@query(f"WITH {LOG} SELECT key, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS value FROM log GROUP BY key")
 def append_fold(s, d):
-    return C.fold_append(events_log(s, d).filter("op = 'DELETE'").withColumn("value", F.col("seq").cast("string")))
+    return C.fold_append(events_log(s, d).withColumn("value", F.col("seq").cast("string")))
 
 
 @query("SELECT user_id, CAST(bit_xor(event_id) AS BIGINT) AS folded FROM events GROUP BY user_id")
@@ -304,17 +317,17 @@ def files_touched(s, d):
     return index_table(s, d).agg(F.count_distinct("pointer.file_number").alias("files"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE s AS (SELECT doc_id // 250 AS part, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS key, 18 + n + {VARLEN} AS size, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) AS pos FROM (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n FROM documents)), f AS (SELECT part, key, size, pos, 0 AS file, 20 + size AS held FROM s WHERE pos = 1 UNION ALL SELECT s.part, s.key, s.size, s.pos, CASE WHEN f.held >= 65536 THEN f.file + 1 ELSE f.file END, CASE WHEN f.held >= 65536 THEN 20 ELSE f.held END + s.size FROM f JOIN s ON s.part = f.part AND s.pos = f.pos + 1) SELECT part, key, CAST(size AS BIGINT) AS size, CAST(file AS BIGINT) AS file FROM f")
 def blob_rollover(s, d):
-    rows = document_rows(s, d).select((F.col("doc_id") % 8).alias("part"), "key", K.record_size(F.col("key"), F.coalesce("value", F.lit(""))).alias("size"))
+    rows = document_rows(s, d).select(F.floor(F.col("doc_id") / 250).alias("part"), "key", K.record_size(F.col("key"), F.coalesce("value", F.lit(""))).alias("size"))
     return blobs.roll_over(rows, 1 << 16)
 
 
-@query(f'WITH {RECORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_number ORDER BY key) AS pos FROM blob WHERE doc_id % 3 <> 0) SELECT file_number, key, coalesce(lag("offset" + size) OVER (PARTITION BY file_number ORDER BY pos) = "offset", FALSE) AS sequential FROM r')
+@query(f'WITH {RECORDS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_number ORDER BY doc_id % 3, key) AS pos FROM blob) SELECT file_number, key, coalesce(lag("offset" + size) OVER (PARTITION BY file_number ORDER BY pos) = "offset", FALSE) AS sequential FROM r')
 def sequential_runs(s, d):
-    w = Window.partitionBy("file_number").orderBy("key")
-    reads = blob_table(s, d).filter("doc_id % 3 <> 0").withColumn("pos", F.row_number().over(w))
-    return blobs.sequential(reads).select("file_number", "key", "sequential")
+    """Records of a file read in another order than they lie in."""
+    w = Window.partitionBy("file_number").orderBy(F.col("doc_id") % 3, "key")
+    return blobs.sequential(blob_table(s, d).withColumn("pos", F.row_number().over(w))).select("file_number", "key", "sequential")
 
 
 # File metadata.
@@ -330,22 +343,49 @@ def live_bytes(s, d):
     return files.live_bytes(index_table(s, d).filter("pointer IS NOT NULL").select("pointer.*"))
 
 
-@query("SELECT l_orderkey AS sst, l_suppkey AS file_number, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL")
+@query("SELECT l_orderkey AS sst, l_suppkey AS file_number, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem GROUP BY ALL")
 def sst_blob_bytes(s, d):
-    return pairs_of(s, d, False).groupBy("sst", "file_number").agg(F.sum("size").alias("bytes"))
+    return pointers(read(s, d, "lineitem")).groupBy("sst", "file_number").agg(F.sum("size").alias("bytes"))
 
 
-@query("SELECT sst, string_agg(file_number || ':' || bytes, ',' ORDER BY file_number) AS bytes FROM (SELECT l_orderkey AS sst, l_suppkey AS file_number, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) GROUP BY sst")
+@query("SELECT sst, string_agg(file_number || ':' || bytes, ',' ORDER BY file_number) AS bytes FROM (SELECT l_orderkey AS sst, l_suppkey AS file_number, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem GROUP BY ALL) GROUP BY sst")
 def sst_blob_map(s, d):
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("bytes")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
-    return files.index_file_bytes(pairs_of(s, d, False)).select("sst", shown.alias("bytes"))
+    return files.index_file_bytes(pointers(read(s, d, "lineitem"))).select("sst", shown.alias("bytes"))
 
 
-@query("SELECT l_suppkey AS file_number, CAST(sum(CASE WHEN l_linenumber <= 3 THEN l_partkey ELSE 0 END) - sum(CASE WHEN l_suppkey % 2 = 1 THEN l_partkey ELSE 0 END) AS BIGINT) AS delta FROM lineitem WHERE l_linenumber <= 3 OR l_suppkey % 2 = 1 GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS file_number, CAST(sum(CASE WHEN l_linestatus <> 'O' THEN l_partkey ELSE -l_partkey END) AS BIGINT) AS delta FROM lineitem GROUP BY l_suppkey")
 def compaction_delta(s, d):
     return files.compaction_delta(pairs_of(s, d, True), pairs_of(s, d, False))
 
 
+AGED = "aged AS (SELECT file_number, file_size, live_data_size AS live, file_level, obsolete_seq, CASE WHEN state = 'OBSOLETE' THEN state WHEN file_number % 5 = 0 THEN 'PENDING_LSM' WHEN file_number % 5 = 1 THEN 'PENDING_INIT' ELSE 'NORMAL' END AS state, CASE WHEN file_number % 4 = 0 THEN NULL WHEN file_number % 5 = 0 AND file_number % 2 = 1 THEN 1000 WHEN file_number % 3 = 0 THEN -live_data_size ELSE -(live_data_size // 2) END AS delta FROM files), changed AS (SELECT *, live + CASE WHEN delta IS NULL OR state = 'OBSOLETE' THEN 0 WHEN state = 'PENDING_LSM' THEN least(delta, 0) ELSE delta END AS now FROM aged) "
+
+
+@query(META + ", " + AGED + "SELECT file_number, CAST(now AS BIGINT) AS live_data_size, CASE WHEN delta IS NULL OR state IN ('OBSOLETE', 'PENDING_INIT') THEN state WHEN now = 0 THEN 'OBSOLETE' WHEN state = 'NORMAL' AND file_level >= 5 AND 1 - now / CAST(file_size - 52 AS DOUBLE) > 0.5 THEN 'TO_MERGE' ELSE 'NORMAL' END AS state, CASE WHEN delta IS NOT NULL AND state NOT IN ('OBSOLETE', 'PENDING_INIT') AND now = 0 THEN 9000 ELSE obsolete_seq END AS obsolete_seq FROM changed")
+def compaction_completed(s, d):
+    n, live = F.col("file_number"), F.col("live_data_size")
+    state = F.when(F.col("state") == "OBSOLETE", F.col("state")).when(n % 5 == 0, "PENDING_LSM").when(n % 5 == 1, "PENDING_INIT").otherwise("NORMAL")
+    aged = file_table(s, d).withColumn("state", state)
+    delta = aged.filter(n % 4 != 0).select("file_number", F.when((n % 5 == 0) & (n % 2 == 1), 1000).when(n % 3 == 0, -live).otherwise(-F.floor(live / 2)).alias("delta"))
+    return files.compaction_completed(aged, delta, 9000, Options(level_merge=True)).select("file_number", "live_data_size", "state", "obsolete_seq")
+
+
+@query("SELECT l_orderkey AS sst, l_suppkey AS file_number, CAST(sum(l_partkey) AS BIGINT) AS size FROM lineitem GROUP BY ALL")
+def sst_map_decode(s, d):
+    return files.index_file_pairs(files.index_file_bytes(pointers(read(s, d, "lineitem"))))
+
+
+NAMES = [("num-live-blob-file", "count(*) FILTER (state <> 'OBSOLETE')"), ("num-obsolete-blob-file", "count(*) FILTER (state = 'OBSOLETE')"), ("live-blob-size", "coalesce(sum(live_data_size) FILTER (state <> 'OBSOLETE'), 0)"), ("live-blob-file-size", "coalesce(sum(file_size) FILTER (state <> 'OBSOLETE'), 0)"), ("obsolete-blob-file-size", "coalesce(sum(file_size) FILTER (state = 'OBSOLETE'), 0)")]
+NAMES += [(f"num-blob-files-at-level{k}", f"count(*) FILTER (state <> 'OBSOLETE' AND file_level = {k})") for k in range(7)]
+NAMES += [(f"num-discardable-ratio-{b.lower()}-file", f"count(*) FILTER (state <> 'OBSOLETE' AND bucket = '{b}')") for b in ("LE0", "LE20", "LE50", "LE80", "LE100")]
+
+
+@query(META + f", b AS (SELECT *, CASE WHEN r < 1e-9 THEN 'LE0' WHEN r <= 0.2 THEN 'LE20' WHEN r <= 0.5 THEN 'LE50' WHEN r <= 0.8 THEN 'LE80' ELSE 'LE100' END AS bucket FROM (SELECT *, {RATIO} AS r FROM files)) " + " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({sql} AS BIGINT) AS value FROM b" for name, sql in NAMES))
+def store_properties(s, d):
+    return files.properties(file_table(s, d))
+
+
 @query(META + f"SELECT file_number, round({RATIO}, 9) AS ratio FROM files")
 def discardable_ratio(s, d):
     return file_table(s, d).select("file_number", F.round(K.discardable_ratio(F.col("file_size"), F.col("live_data_size")), 9).alias("ratio"))
@@ -415,7 +455,11 @@ def purge_obsolete(s, d):
     return files.purgeable(file_table(s, d), [230, 400])
 
 
-@query(None)
+STEPS = " ".join(f"WHEN e = '{event}'" + (f" AND s IN ({', '.join(repr(x) for x in on)})" if on else "") + f" THEN '{to}'" for event, on, to in files.TRANSITIONS)
+EVENT = "CASE event_id % 5 WHEN 0 THEN 'FlushOrCompactionOutput' WHEN 1 THEN 'CompactionCompleted' WHEN 2 THEN 'GCBegin' WHEN 3 THEN 'GCCompleted' ELSE 'NeedMerge' END"
+
+
+@query(f"SELECT user_id AS file_number, list_reduce(list_prepend('None', list({EVENT} ORDER BY event_id)), (s, e) -> CASE {STEPS} ELSE s END) AS state FROM events GROUP BY user_id")
 def file_state_fold(s, d):
     return files.fold_states(state_events(s, d))
 
@@ -466,12 +510,38 @@ def gc_metrics(s, d):
     return gc.metrics(blob_table(s, d), index_table(s, d))
 
 
-@query(f"WITH {RECORDS}, {INDEX}, l AS (SELECT key, size, 1000 + file_number % 5 AS file_number FROM state WHERE reason IS NULL) SELECT file_number, key, CAST(20 + coalesce(sum(size) OVER (PARTITION BY file_number ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM l")
+@query(f"WITH {RECORDS}, {INDEX}, l AS (SELECT key, size, 1000000 + file_number // 4 AS file_number FROM state WHERE reason IS NULL) SELECT file_number, key, CAST(20 + coalesce(sum(size) OVER (PARTITION BY file_number ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM l")
 def gc_rewrite(s, d):
-    live = gc.live_records(blob_table(s, d), index_table(s, d)).select("key", "value", (F.col("file_number") % 5 + 1000).alias("file_number"))
+    live = gc.live_records(blob_table(s, d), index_table(s, d)).select("key", "value", (F.floor(F.col("file_number") / 4) + 1000000).alias("file_number"))
     return blobs.offsets(live).select("file_number", "key", "offset")
 
 
+# A collection of a third of the files.  Keys that were overwritten in the meantime had pointers when it began.
+MOVED = f"WITH {RECORDS}, {INDEX}, {FILES}, p AS (SELECT key, size, reason, file_number AS old, 1000000 + file_number // 4 AS new_file FROM state WHERE reason IS DISTINCT FROM 'key deleted' AND file_number % 3 = 1), moved AS (SELECT *, CAST(20 + coalesce(sum(size) OVER (PARTITION BY new_file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_offset FROM p) "
+
+
+def collected(s: SparkSession, d: str) -> DataFrame:
+    lab = read(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    then = blob_table(s, d).join(lab, "doc_id", "left").filter("coalesce(quality, 1) <> 0").select("key", F.struct("file_number", "offset", "size").alias("pointer"))
+    return gc.relocate(blob_table(s, d), then, F.col("file_number") % 3 == 1, F.floor(F.col("file_number") / 4) + 1000000)
+
+
+@query(MOVED + 'SELECT s.key, coalesce(new_file, s.file_number) AS file_number, coalesce(new_offset, s."offset") AS "offset" FROM state s LEFT JOIN moved m ON m.key = s.key WHERE s.reason IS NULL')
+def gc_install(s, d):
+    after = gc.install(collected(s, d), index_table(s, d)).filter("pointer IS NOT NULL")
+    return after.select("key", "pointer.file_number", "pointer.offset")
+
+
+@query(MOVED + "SELECT new_file AS file_number, CAST(sum(size) AS BIGINT) AS dropped FROM moved WHERE reason IS NOT NULL GROUP BY new_file")
+def gc_dropped_bytes(s, d):
+    return gc.dropped_bytes(collected(s, d), index_table(s, d))
+
+
+@query(META + "SELECT file_number, CASE WHEN file_number % 3 = 1 THEN 'OBSOLETE' ELSE state END AS state, CASE WHEN file_number % 3 = 1 AND state <> 'OBSOLETE' THEN 9000 ELSE obsolete_seq END AS obsolete_seq FROM files")
+def gc_finish(s, d):
+    return gc.finish(file_table(s, d), F.col("file_number") % 3 == 1, 9000).select("file_number", "state", "obsolete_seq")
+
+
 # The manifest.
 
 
@@ -485,6 +555,11 @@ def manifest_validate(s, d):
     return manifest.faults(edit_table(s, d))
 
 
+@query(EDITS + "SELECT edit_id, file_number, 'next file number decreases' AS fault FROM (SELECT *, lag(file_number) OVER (ORDER BY edit_id) AS b FROM edits WHERE kind = 'NEXT_FILE') WHERE file_number < b")
+def manifest_next_file(s, d):
+    return manifest.backward_numbers(edit_table(s, d))
+
+
 @query(EDITS + ", a AS (SELECT DISTINCT file_number FROM edits WHERE kind = 'ADD'), x AS (SELECT DISTINCT file_number FROM edits WHERE kind = 'DELETE') SELECT file_number, 'live' AS what FROM a WHERE file_number NOT IN (SELECT * FROM x) UNION ALL SELECT file_number, 'deleted only' FROM x WHERE file_number NOT IN (SELECT * FROM a)")
 def manifest_dump(s, d):
     return manifest.dump(edit_table(s, d))
@@ -501,9 +576,9 @@ def manifest_snapshot(s, d):
     return manifest.snapshot(edit_table(s, d), known)
 
 
-@query("SELECT c_custkey AS file_number FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS file_number FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def orphan_files(s, d):
-    return manifest.orphans(read(s, d, "customer").select(F.col("c_custkey").alias("file_number")), read(s, d, "orders").select(F.col("o_custkey").alias("file_number")))
+    return manifest.orphans(read(s, d, "customer").select(F.col("c_custkey").alias("file_number")), read(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("file_number")))
 
 
 @query(META + "SELECT file_number, file_size FROM files WHERE state <> 'OBSOLETE'")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+FILE_KEYS = 25
+
+
 def key_of(number: str | Column) -> Column:
     """A number as a key of eight digits, so that byte order is number order."""
     return F.lpad((F.col(number) if isinstance(number, str) else number).cast("string"), 8, "0")
@@ -18,9 +21,9 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as key, value and the file a large value goes to."""
+    """documents as key, value and the file a large value goes to; files hold ranges of FILE_KEYS keys."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", key_of("doc_id").alias("key"), F.col("text").alias("value"), (F.col("doc_id") % 37 + 1).alias("file_number"))
+    return d.select("doc_id", key_of("doc_id").alias("key"), F.col("text").alias("value"), (F.floor(F.col("doc_id") / FILE_KEYS) + 1).alias("file_number"))
 
 
 def write_blobs(blob: DataFrame, path: str, codec: str = "zstd") -> None:
