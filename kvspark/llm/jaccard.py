@@ -26,8 +26,8 @@ _U = np.uint64
 WIDTH = 5
 #: Members of one block when a bucket's pairs are compared block by block.
 BLOCK = 256
-#: Elements whose hash lies below this are counted over all sets: three of ten.
-LOOKED_AT = _U(2**64 * 3 // 10)
+#: Elements whose hash lies below this are counted over all sets: one of four.
+LOOKED_AT = _U(1 << 62)
 #: Rows of one call that compares the blocks of buckets by their bits.
 CALL_ROWS = 4000
 
