@@ -459,7 +459,7 @@ STEPS = " ".join(f"WHEN e = '{event}'" + (f" AND s IN ({', '.join(repr(x) for x
 EVENT = "CASE event_id % 5 WHEN 0 THEN 'FlushOrCompactionOutput' WHEN 1 THEN 'CompactionCompleted' WHEN 2 THEN 'GCBegin' WHEN 3 THEN 'GCCompleted' ELSE 'NeedMerge' END"
 
 
-@query(f"SELECT user_id AS file_number, list_reduce(list_prepend('None', list({EVENT} ORDER BY event_id)), (s, e) -> CASE {STEPS} ELSE s END) AS state FROM events GROUP BY user_id")
+@query(f"SELECT user_id AS file_number, list_reduce(list_prepend('None', list({EVENT} ORDER BY event_id)), lambda s, e: CASE {STEPS} ELSE s END) AS state FROM events GROUP BY user_id")
 def file_state_fold(s, d):
     return files.fold_states(state_events(s, d))
 
