@@ -231,7 +231,7 @@ def test_substrings_behind_sixteen_mib(spark):
 # 7
 
 
-def test_contamination_against_all_pairs(spark):
+def test_contamination_against_all_pairs(spark, monkeypatch):
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(3000)]
     items = [(k, " ".join(rng.choices(vocab, k=rng.choice([3, 5, 9, 30, 120, 400])))) for k in range(40)] + [(90, None), (91, ""), (0, "two rows")]
@@ -255,6 +255,14 @@ def test_contamination_against_all_pairs(spark):
             if own and 5 * len(own & s) >= 4 * len(own):
                 want.append((i, k, len(own & s), len(own)))
     assert got == sorted(want) and found.count() == len(docs)
+    # In several parts; on empty tables; with the text kept.
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(contamination, "MOST_ITEMS", 15)
+    parts = contamination.find_items(df, table, other_cols=("text",))
+    assert parts.columns == ["doc_id", "text", "items", "n_items"]
+    assert sorted((r.doc_id, x.item, x.shared, x.size) for r in parts.collect() for x in r["items"]) == got
+    assert {r.n_items for r in contamination.find_items(df, table.limit(0)).collect()} == {0}
+    assert contamination.find_items(df.limit(0), table).count() == 0
 
 
 # 8
