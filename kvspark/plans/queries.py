@@ -35,15 +35,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def large_rows(s: SparkSession, d: str) -> DataFrame:
+    return document_rows(s, d).filter(F.octet_length("value") >= 4096)
+
+
 def blob_table(s: SparkSession, d: str) -> DataFrame:
-    rows = document_rows(s, d).filter(F.octet_length("value") >= 4096)
-    return blobs.offsets(rows)
+    return blobs.offsets(large_rows(s, d))
 
 
-def index_table(s: SparkSession, d: str) -> DataFrame:
-    """Pointers of the large documents, less those of low quality (deleted); toxic ones are inline by now."""
+def not_deleted(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """rows less documents of low quality, with whether they are toxic."""
     lab = read(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = blob_table(s, d).join(lab, "doc_id", "left").filter("coalesce(quality, 1) <> 0")
+    return rows.join(lab, "doc_id", "left").filter("coalesce(quality, 1) <> 0")
+
+
+def index_table(s: SparkSession, d: str, blob: DataFrame | None = None) -> DataFrame:
+    """Pointers of the large documents, less those of low quality (deleted); toxic ones are inline by now."""
+    rows = not_deleted(s, d, blob_table(s, d) if blob is None else blob)
     inline = F.coalesce(F.col("toxic"), F.lit(0)) == 1
     return rows.select("key", F.when(inline, "overwritten").alias("inline_value"), F.when(~inline, F.struct("file_number", "offset", "size")).alias("pointer"))
 
@@ -303,8 +311,10 @@ def deref_lenient(s, d):
 
 @query(f"WITH {RECORDS}, {INDEX} SELECT key, CASE WHEN reason IS NULL THEN value ELSE 'overwritten' END AS value FROM state WHERE reason IS NULL OR reason <> 'key deleted' ORDER BY key LIMIT 20")
 def late_materialize(s, d):
-    first = index_table(s, d).orderBy("key").limit(20)
-    return blobs.dereference(first, blob_table(s, d)).select("key", "value")
+    """The first keys are found without a value or an offset; only their files, 20 at most, are laid out and read."""
+    held = not_deleted(s, d, large_rows(s, d).drop("value")).orderBy("key").limit(20).select("file_number").distinct()
+    blob = blobs.offsets(large_rows(s, d).join(F.broadcast(held), "file_number", "left_semi"))
+    return blobs.dereference(index_table(s, d, blob).orderBy("key").limit(20), blob).select("key", "value")
 
 
 @query(f"WITH {RECORDS}, {INDEX} SELECT key, CASE WHEN reason IS NULL THEN value ELSE 'overwritten' END AS inline_value FROM state WHERE reason IS NULL OR reason <> 'key deleted'")
