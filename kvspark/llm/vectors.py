@@ -17,30 +17,22 @@ TABLES, PROJECTIONS, CELL = 50, 8, 1.2
 BLOCK = 1024
 
 
-def units(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision of the lists that have the commonest length and can be compared, and their rows."""
-    ok = counts > 0
-    if not ok.any():
-        return np.zeros((0, 1)), np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    rows = np.flatnonzero(ok)
-    x = values[(at[rows][:, None] + np.arange(counts[rows][0]))] if (counts[rows] == counts[rows][0]).all() else None
-    if x is None:
-        raise ValueError("vectors of several lengths in one batch")
-    length = np.sqrt((x * x).sum(1))
-    good = np.isfinite(length) & (length > 0)
-    return x[good] / length[good][:, None], rows[good]
+def units(x: np.ndarray) -> np.ndarray:
+    """The rows of a matrix at length 1, in double precision; very large and very small ones are scaled first."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True, initial=0.0)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def buckets(x: np.ndarray, seed: int) -> np.ndarray:
-    """Bucket keys, a column for each table."""
+    """Bucket keys of 32 bits, a column for each table."""
     rng = np.random.default_rng([seed, x.shape[1]])
     a = rng.standard_normal((x.shape[1], TABLES * PROJECTIONS))
     cells = np.floor((x @ a + rng.uniform(0, CELL, TABLES * PROJECTIONS)) / CELL).astype(np.int64).view(np.uint64)
     h = np.tile(mix(np.arange(TABLES, dtype=np.uint64) + _U(x.shape[1] * 1000)), (len(x), 1))
     for k in range(PROJECTIONS):
         h = mix(h + cells[:, k::PROJECTIONS] * _U(0x9E3779B97F4A7C15))
-    return h
+    return (h >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def _matrix(column) -> np.ndarray:
@@ -55,7 +47,7 @@ def _compare(table):
     of its component among the links of this comparison, which are no more rows than members.
     """
     ids, copies, t, bucket, i, j, block = (table.column(c).to_numpy(zero_copy_only=False) for c in ("class", "copies", "t", "bucket", "i", "j", "block"))
-    x, keys = _matrix(table.column("x")), _matrix(table.column("keys"))
+    x, keys = units(_matrix(table.column("x"))), _matrix(table.column("keys"))
     order = np.lexsort((j, i, bucket, t))
     change = np.zeros(len(order), bool)
     for c in (t, bucket, i, j):
@@ -93,7 +85,8 @@ def near_vectors(vectors: DataFrame, *, seed: int = 11, id_col: str = "vec_id",
     of their own, a null id names no component but its own null.  Vectors of different lengths link with nothing of
     another length.  An empty table gives an empty table; other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     bad = F.col("v").isNull() | (F.size("v") == 0) | F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     fine = rows.filter(~bad & F.exists("v", lambda e: e != 0))
     classes = fine.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
@@ -104,19 +97,16 @@ def near_vectors(vectors: DataFrame, *, seed: int = 11, id_col: str = "vec_id",
             v = batch.column(1)
             counts = np.diff(v.offsets.to_numpy())
             for size in np.unique(counts):
-                at = np.flatnonzero(counts == size)
-                x, row = units(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), counts[at])
-                if not len(row):
-                    continue
-                h = buckets(x, seed)
-                part = [batch.column(k).take(pa.array(at[row])) for k in (0, 2)]
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel())) for m in (x, h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*part, *lists], ["class", "copies", "x", "keys"])
-
-    signed = materialize(classes.select("class", "v", "copies").mapInArrow(sign, "class long, copies long, x array<double>, keys array<long>"))
+                at = pa.array(np.flatnonzero(counts == size))
+                part = v.take(at)
+                h = buckets(units(_matrix(part)), seed)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]), pa.array(h.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(np.full(len(h), size, np.int32)), part, keys], ["class", "copies", "size", "x", "keys"])
+
+    signed = materialize(classes.select("class", "v", "copies").mapInArrow(sign, f"class long, copies long, size int, x array<{kind}>, keys array<int>"))
     posted = signed.select("class", F.posexplode("keys").alias("t", "bucket"))
     met = materialize(posted.groupBy("t", "bucket").agg(F.count("*").alias("members")).filter("members > 1"))
-    shared = materialize(posted.join(met, ["t", "bucket"]))
+    shared = materialize(posted.join(met, ["t", "bucket"]), met)
     n = F.ceil(F.col("members") / BLOCK).cast("int")
     # Buckets of one block share calls of some thousand rows; each pair of blocks of a larger one has its own.
     calls = max(1, shared.count() // 4000)
@@ -125,13 +115,13 @@ def near_vectors(vectors: DataFrame, *, seed: int = 11, id_col: str = "vec_id",
     placed = placed.withColumn("ij", F.explode(meets)).select("t", "bucket", "class", "block", "ij.*", "n")
     together = F.when(F.col("n") == 1, F.pmod(F.xxhash64("t", "bucket"), F.lit(calls))).otherwise(F.xxhash64("t", "bucket", "i", "j"))
     placed = placed.withColumn("together", together).drop("n").join(signed, "class")
-    found = materialize(placed.groupBy("together").applyInArrow(_compare, "class long, links long, tie long"))
+    found = materialize(placed.groupBy("size", "together").applyInArrow(_compare, "class long, links long, tie long"), shared, signed)
     linked = materialize(found.groupBy("class").agg(F.sum("links").alias("links")))
-    reached = materialize(components(found.select(F.col("class").alias("a"), F.col("tie").alias("b"))))
+    reached = components(found.select(F.col("class").alias("a"), F.col("tie").alias("b")))
     owners = classes.select("class", "copies", "first", "v").join(linked, "class", "left").join(reached.withColumnRenamed("node", "class"), "class", "left")
-    owners = materialize(owners.select("v", "copies", "first", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    owners = materialize(owners.select("v", "copies", "first", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), classes, linked, reached, found)
     named = materialize(owners.groupBy("component").agg(F.min("first").alias("component_id")))
-    owners = materialize(owners.join(named, "component").select("v", "copies", "links", "component_id"))
+    owners = materialize(owners.join(named, "component").select("v", "copies", "links", "component_id"), owners, named)
     good = fine.join(owners, "v").select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.filter(bad | ~F.exists("v", lambda e: e != 0)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.unionByName(alone)

@@ -167,8 +167,9 @@ def test_vectors_against_all_pairs(spark):
     x = [base[k % 40] + rng.standard_normal(32) * rng.choice([0.02, 0.1, 0.2]) for k in range(300)]
     x += [x[0], x[0] * 2]
     rows = [(i, [float(np.float32(e)) for e in v]) for i, v in enumerate(x)]
-    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [1.0, None] + [0.0] * 30), (904, [float("nan")] * 32), (905, [1.0, 2.0])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("class", F.lit("x"))
+    odd = [(900, None), (901, []), (902, [0.0] * 32), (903, [1.0, None] + [0.0] * 30), (904, [float("nan")] * 32), (905, [1.0, 2.0]), (906, [3.0] * 5), (907, [0.0] * 4 + [float('inf')])]
+    short = [(950, [1.0, 1.1, 0.9]), (951, [1.0, 1.0, 1.0]), (952, [1e-30, 1e-30, 1.05e-30])]
+    df = spark.createDataFrame(rows + odd + short, "vec_id long, embedding array<float>").withColumn("class", F.lit("x"))
     got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
     u = np.array([np.float32(v) for _, v in rows]).astype(float)
     u /= np.linalg.norm(u, axis=1)[:, None]
@@ -182,6 +183,7 @@ def test_vectors_against_all_pairs(spark):
     assert all(got[i].component_id >= root[i] for i in range(len(u))) and sum(got[i].component_id == root[i] for i in range(len(u))) >= 0.9 * len(u)
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _ in odd)
     assert all(r.kept == (r.component_id == r.vec_id) for r in got.values())
+    assert all(got[i].component_id == 950 and got[i].n_links == 2 for i, _ in short)
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
