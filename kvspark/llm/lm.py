@@ -154,7 +154,7 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     table = materialize(counts(rows.filter("train").select("text")))
-    words = table.filter("order = 1").select("h", "n")
+    words = materialize(table.filter("order = 1").select("h", "n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = words.filter(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # The least count at which the words are few enough to send around; above every count if they never are.
@@ -169,24 +169,28 @@ def score(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: s
     hot_h = np.array(hot.column("h").to_numpy()).view(np.uint64)
     order = np.argsort(hot_h)
     hot_h, hot_n = hot_h[order], np.array(hot.column("n").to_numpy())[order]
+    del hot, order
     z = total + 0.1 * (distinct + 1)
 
     segments, bits, made = build(words.filter(F.col("n") >= least))
     one = Filter(segments, bits, {r.segment: np.frombuffer(r.data, np.uint8) for r in made.collect()})
     segments, bits, made = build(table.filter("order = 2").select("h", "n"))
-    made = materialize(made)
-    rare = materialize(words.filter(F.col("n") < least), table)
+    made = materialize(made, table)
+    rare = materialize(words.filter(F.col("n") < least), words)
     per_pass = max(1, MOST_FILTER // max(1, bits // 8))
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     if segments > per_pass:  # rows keep their numbers from pass to pass
         numbered = materialize(numbered)
     results = None
     for begin in range(0, segments, per_pass):
-        part = made.filter(F.col("segment").between(begin, begin + per_pass - 1)).collect()
-        two = Filter(segments, bits, {r.segment: np.frombuffer(r.data, np.uint8) for r in part} | {})
+        part = made.filter(F.col("segment").between(begin, begin + per_pass - 1)).toLocalIterator()  # a task's segments at a time
+        two = Filter(segments, bits, {r.segment: np.frombuffer(r.data, np.uint8) for r in part})
         for s in range(begin, min(begin + per_pass, segments)):
             two.held.setdefault(s, np.zeros(bits // 8, np.uint8))
-        found = materialize(_pass(numbered, spark.sparkContext.broadcast((hot_h, hot_n, one, two)), z, int(end), begin == 0))
+        shared = spark.sparkContext.broadcast((hot_h, hot_n, one, two))
+        del two, part
+        found = materialize(_pass(numbered, shared, z, int(end), begin == 0))
+        shared.destroy()
         results = found if results is None else materialize(results.unionByName(found), results, found)
     drop(made, *([numbered] if segments > per_pass else []))
     if segments > per_pass:
