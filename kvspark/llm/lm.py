@@ -40,6 +40,10 @@ def value(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
+#: value() of every level.
+VALUES = value(np.arange(LEVELS))
+
+
 @dataclass
 class Filter:
     """Bit segments by number; an n-gram lies in the segment that its hash names.  Missing segments hold nothing."""
@@ -68,12 +72,14 @@ class Filter:
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Levels found by probing 1, 2, ... until one is missing; and which n-grams fall into the segments held."""
         out, here = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        of = self.segment(h)
-        for s, data in self.held.items():
-            at = np.flatnonzero(of == _U(s))
+        of = self.segment(h).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.array([*self.held, 0])[:-1]), np.searchsorted(of[order], np.array([*self.held, 0])[:-1], "right")
+        for data, a, b in zip(self.held.values(), *cuts, strict=True):
+            at = order[a:b]
             here[at] = True
             level = 1
-            while at.size:
+            while at.size and level < LEVELS:
                 for k in range(FIRST if level == 1 else FURTHER):
                     p = self.places(h[at], level, k)
                     at = at[(data[p >> _U(3)] >> (p & _U(7)).astype(np.uint8)) & 1 > 0]
@@ -216,7 +222,7 @@ def _rare_pairs(pairs: DataFrame, rare: DataFrame, z: float, end: int) -> DataFr
     """
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BASE)) + 1e-9) + 1
     known = rare.select("h", level.alias("at"))
-    middle = lambda at: F.element_at(F.array(*(F.lit(float(x)) for x in value(np.arange(LEVELS)))), (at + 1).cast("int"))
+    middle = lambda at: F.element_at(F.array(*(F.lit(float(x)) for x in VALUES)), (at + 1).cast("int"))
     a, b = known.withColumnsRenamed({"h": "first", "at": "of_first"}), known.withColumnsRenamed({"h": "second", "at": "of_second"})
     both = pairs.select("row", F.col("first.h").alias("first"), F.col("second.h").alias("second"), F.col("first.at").alias("held_first"), F.col("second.at").alias("held_second"), "level", "again")
     both = both.join(a, "first", "left").join(b, "second", "left")
@@ -251,7 +257,7 @@ def _pass(rows: DataFrame, shared, z: float, end: int, with_base: bool) -> DataF
                 is_hot = hot_h[at] == word if len(hot_h) else np.zeros(len(word), bool)
                 exact = np.where(is_hot, hot_n[at] if len(hot_h) else 0, 0)
                 word_level = np.where(is_hot, one.look_up(word)[0], 0)
-                count = value(word_level)
+                count = VALUES[word_level]
                 uni = (count + 0.1) / z
                 pair, first, back = np.unique(bigram(before, token), return_index=True, return_inverse=True)
                 level, here = two.look_up(pair)
@@ -260,7 +266,7 @@ def _pass(rows: DataFrame, shared, z: float, end: int, with_base: bool) -> DataF
                 prior_at = np.minimum(np.searchsorted(word, prior), len(word) - 1)
                 context = np.where(starts, float(max(end, 1)), count[prior_at])
                 hot_pair = is_hot[of[first]] & (starts | is_hot[prior_at])
-                share = np.minimum(1.0, value(level) / np.maximum(context, 1.0))
+                share = np.minimum(1.0, VALUES[level] / np.maximum(context, 1.0))
                 p = np.where(here & hot_pair, np.log10(WEIGHT * share + (1 - WEIGHT) * uni[of[first]]), 0.0)
                 total = np.bincount(row, p[back], m)
                 base, known, n_tokens = np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
